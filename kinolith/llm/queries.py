@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinolith.llm import near_dedup, packing, token_counts
+from kinolith.llm import near_dedup, packing, token_counts, topk_search
 from kinolith.llm.shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -26,6 +26,11 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five largest integer products of every fiftieth vector with all others."""
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
@@ -35,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op3_topk_search": op3_topk_search,
         "op5_token_counts": op5_token_counts,
     }
 
