@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinolith.llm import near_dedup, packing, secret_scan, token_counts, topk_search, url_filter
+from kinolith.llm import language_id, near_dedup, packing, secret_scan, token_counts, topk_search, url_filter
 from kinolith.llm.shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -55,6 +55,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -63,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scan": op4_secret_scan,
         "op5_token_counts": op5_token_counts,
         "op7_url_filter": op7_url_filter,
+        "op8_language_id": op8_language_id,
     }
 
 
