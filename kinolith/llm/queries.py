@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinolith.llm import language_id, near_dedup, packing, secret_scan, token_counts, topk_search, url_filter
+from kinolith.llm import language_id, media_mkv, near_dedup, packing, secret_scan, token_counts, topk_search, url_filter
 from kinolith.llm.shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -61,6 +61,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.learn(docs))
 
 
+def op10_media_mkv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a Matroska file and read back."""
+    return media_mkv.digests(media_mkv.store(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op7_url_filter": op7_url_filter,
         "op8_language_id": op8_language_id,
+        "op10_media_mkv": op10_media_mkv,
     }
 
 
