@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinolith.llm import language_id, media_mkv, near_dedup, packing, secret_scan, token_counts, topk_search, url_filter
+from kinolith.llm import language_id, media_mkv, near_dedup, packing, pii, secret_scan, token_counts, topk_search, url_filter
 from kinolith.llm.shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -61,6 +61,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.learn(docs))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [pii.count_of("base", kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("found")).alias("spans"),
+    )
+
+
 def op10_media_mkv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as a Matroska file and read back."""
     return media_mkv.digests(media_mkv.store(table(spark, sf_dir, "documents")))
@@ -75,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op7_url_filter": op7_url_filter,
         "op8_language_id": op8_language_id,
+        "op9_pii": op9_pii,
         "op10_media_mkv": op10_media_mkv,
     }
 
