@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinolith.llm import language_id, media_mkv, near_dedup, packing, pii, secret_scan, token_counts, topk_search, url_filter
+from kinolith.llm import language_id, media_mkv, near_dedup, packing, pieces, pii, secret_scan, token_counts, topk_search, url_filter
 from kinolith.llm.shared import table
 
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, decoded again; decoded_sha256 is of the text that comes back."""
+    model = public_tokenizers.path(PIECES)
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return coded.select(
+        "doc_id", "n_bytes", "n_pieces", "n_fallback", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
@@ -85,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_topk_search": op3_topk_search,
         "op4_secret_scan": op4_secret_scan,
         "op5_token_counts": op5_token_counts,
+        "op6_sentencepiece": op6_sentencepiece,
         "op7_url_filter": op7_url_filter,
         "op8_language_id": op8_language_id,
         "op9_pii": op9_pii,
