@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinolith.llm.shared import utf8_rows
+from kinolith.llm.shared import add_columns, utf8_rows
 from kinolith.llm.token_counts import LONGEST_CACHED, segments
 
 ORDER = 4
@@ -237,11 +237,17 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     `und` with score 0, as is everything if nothing was learned. Only the text
     is looked at; rows are neither joined nor grouped.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by SAMPLE_WORDS
+    light = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
+    found = with_language(light, model)
+    return found.select(F.col("key").alias(key), held_out("key").alias("held_out"), "lang_pred", "score")
+
+
+def with_language(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs with lang_pred and score, as identify() gives them; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE_WORDS
     name_of_model = uuid.uuid4().hex
 
-    def predict(batches):
+    def predict(batch):
         import pyarrow as pa
 
         if name_of_model not in _SCORERS:  # a worker keeps its scorer for later tasks
@@ -249,24 +255,17 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
             _SCORERS[name_of_model] = Scorer(shared.value)
         scorer = _SCORERS[name_of_model]
         languages = scorer.model.languages
-        for batch in batches:
-            names, scores = [], []
-            for (text,) in utf8_rows(batch, "text"):
-                bits = scorer.score(text or b"")
-                if not languages or bits[-1] == 0:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                lengths = bits[:-1]
-                best = int(lengths.argmin())
-                names.append(languages[best])
-                scores.append(float(1 / np.exp2(np.maximum(lengths[best] - lengths, -1000)).sum()))
-            keys = batch.column(batch.schema.get_field_index("key"))
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["key", "lang_pred", "score"]
-            )
+        names, scores = [], []
+        for (text,) in utf8_rows(batch, "text"):
+            bits = scorer.score(text or b"")
+            if not languages or bits[-1] == 0:
+                names.append(UNKNOWN)
+                scores.append(0.0)
+                continue
+            lengths = bits[:-1]
+            best = int(lengths.argmin())
+            names.append(languages[best])
+            scores.append(float(1 / np.exp2(np.maximum(lengths[best] - lengths, -1000)).sum()))
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
-    kind = docs.schema[key].dataType.simpleString()
-    light = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
-    found = light.mapInArrow(predict, f"key {kind}, lang_pred string, score double")
-    return found.select(F.col("key").alias(key), held_out("key").alias("held_out"), "lang_pred", "score")
+    return add_columns(docs, [("lang_pred", "string"), ("score", "double")], predict)

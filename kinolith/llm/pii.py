@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinolith.llm.boosting import BoostedTrees
+from kinolith.llm.shared import add_columns
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the trees propose.
@@ -260,3 +261,22 @@ def find(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) ->
     light = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
     found = light.mapInArrow(search, f"key {kind}, base {spans}, found {spans}, redacted string")
     return found.withColumnRenamed("key", key)
+
+
+def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs with the text's personal data replaced by its kind in brackets; all columns stay."""
+    model = trained()
+
+    def clean(batch):
+        import pyarrow as pa
+
+        texts = []
+        for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+            if text:
+                fixed = base_spans(text)
+                spans = fixed + model_spans(text, model, fixed, threshold)
+                text = redacted(text, spans) if spans else text
+            texts.append(text)
+        return [pa.array(texts, pa.string())]
+
+    return add_columns(docs, [("text", "string")], clean)

@@ -79,3 +79,27 @@ def utf8_rows(batch, *columns: str) -> Iterator[tuple]:
             array = array.cast(pa.large_binary())
         arrays.append(array.to_pylist())
     return zip(*arrays)
+
+
+def add_columns(docs: DataFrame, fields: list[tuple[str, str]], compute) -> DataFrame:
+    """docs with columns (name, type) that compute(batch) makes, as Arrow arrays; columns of those names are replaced.
+
+    All other columns go along unchanged, so nothing has to be joined back.
+    """
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    names = [name for name, _ in fields]
+    own = [StructField(name, _parse_datatype_string(kind)) for name, kind in fields]
+    schema = StructType([f for f in docs.schema.fields if f.name not in names] + own)
+
+    def add(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            kept = [i for i, name in enumerate(batch.schema.names) if name not in names]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in kept), *compute(batch)],
+                names=[*(batch.schema.names[i] for i in kept), *names],
+            )
+
+    return docs.mapInArrow(add, schema)
