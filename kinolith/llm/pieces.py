@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
 Pieces and scores come from a public model file. Where its scores are merge
-ranks, as in a BPE file, Zipf's law turns rank r into the log probability
+ranks (whole numbers that fall from piece to piece), as in a BPE file, Zipf's
+law turns the place r of a piece into the log probability
 -log(r + 1) - log(sum of 1 / (r + 1)). Scores are whole micro-nats, so sums are
 exact and ties are real ties.
 
@@ -103,8 +104,9 @@ class Vocabulary:
             i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
         ]
         scores = [model.get_score(i) for i in normal]
-        ranks = zipf if zipf is not None else all(s == -k for k, s in enumerate(scores))
-        if ranks:
+        falling = sum(b < a for a, b in zip(scores, scores[1:]))
+        ranks = all(s == int(s) for s in scores) and falling >= 0.9 * (len(scores) - 1)
+        if ranks if zipf is None else zipf:
             total = math.log(sum(1 / (k + 1) for k in range(len(normal))))
             scores = [-math.log(k + 1) - total for k in range(len(normal))]
         self.score = array.array("q", [0]) * size
