@@ -21,8 +21,9 @@ from kinolith.llm.shared import by_bytes, utf8_rows
 
 BATCH_BYTES = 1 << 20
 SEGMENT_BYTES = 1 << 18
-CHUNK_CACHE = 450_000
-WORD_CACHE = 350_000
+#: Entries of each of two generations; what an older one has moves up when it is met again.
+CHUNK_CACHE = 400_000
+WORD_CACHE = 300_000
 LONGEST_CACHED = 48
 
 # Latin-1 text in which Python and the library agree on letters, digits, white
@@ -60,25 +61,29 @@ class CachedEncoder:
         self.width = array.array(self.code).itemsize
         self.word_end = {i for token, i in vocabulary.items() if token.endswith("</w>")}
         self.chunks: dict[bytes, bytes] = {}
+        self.old_chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each text; call it with about BATCH_BYTES at a time."""
         parts = [[part.split() for part in segments(text)] for text in texts]
-        known = self.chunks
+        if len(self.chunks) > CHUNK_CACHE:
+            self.chunks, self.old_chunks = {}, self.chunks
+        known, older = self.chunks, self.old_chunks
         long: dict[bytes, bytes] = {}
-        fresh = set()
+        met = set()
         for text in parts:
             for part in text:
-                fresh.update(part)
-        fresh = {chunk for chunk in fresh if chunk not in known}
+                met.update(part)
+        fresh = []
+        for chunk in met:
+            if chunk not in known:
+                if chunk in older:
+                    known[chunk] = older[chunk]
+                else:
+                    fresh.append(chunk)
         if fresh:
-            if len(known) + len(fresh) > CHUNK_CACHE:
-                keep = set()
-                for text in parts:
-                    for part in text:
-                        keep.update(part)
-                self.chunks = known = {k: known[k] for k in keep if k in known}
             for chunk, ids in self._learn(fresh):
                 (known if len(chunk) <= LONGEST_CACHED else long)[chunk] = ids
         get = known.__getitem__
@@ -86,7 +91,7 @@ class CachedEncoder:
             get = lambda chunk: known[chunk] if chunk in known else long[chunk]
         return [b"".join([b"".join(map(get, part)) for part in text]) for text in parts]
 
-    def _learn(self, fresh: set[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    def _learn(self, fresh: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         plain, odd, new = [], [], set()
         for chunk in fresh:
             text = chunk.decode("utf-8", "replace")
@@ -97,12 +102,17 @@ class CachedEncoder:
             else:
                 odd.append((chunk, text))
         if len(self.words) > WORD_CACHE:
-            self.words = {}
-        else:
-            new = {word for word in new if word not in self.words}
-        self._learn_words(list(new))
+            self.words, self.old_words = {}, self.words
+        known, older = self.words, self.old_words
+        unknown = []
+        for word in new:
+            if word not in known:
+                if word in older:
+                    known[word] = older[word]
+                else:
+                    unknown.append(word)
+        self._learn_words(unknown)
         get, pack = self.words.__getitem__, array.array
-        # words of this call that an emptied cache has lost are in new again
         for chunk, words in plain:
             yield chunk, b"".join(map(get, words))
         if odd:
