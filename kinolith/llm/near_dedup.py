@@ -11,6 +11,11 @@ neighbours, and every link is confirmed on the full shingle sets.
 Documents with equal shingle sets are one class from the start. A first walk
 links each row with its most similar earlier neighbour; the second walk knows
 the components found and looks only for links between different ones.
+
+Rows of a region with more rows than the look-back, or one that a range's end
+has cut, are crowded: there the window does not meet all pairs. They go through
+a prefix-filter join on their rarest shingles, which meets every pair of them
+at the threshold, again only between different components.
 """
 
 from __future__ import annotations
@@ -37,6 +42,10 @@ LEAST_AGREEING = 383
 #: Links of a document, over all trees, that the first walk confirms; the second walk takes all it has left apart.
 FIRST_LINKS = 4
 ROWS_A_RANGE = 60_000
+#: Rows of a shingle's list that are compared at a time; longer lists are cut into blocks, and each two blocks meet.
+BLOCK_ROWS = 1024
+#: The most frequent shingles of crowded rows, which come last in the order of prefixes. The order only sets the costs.
+FREQUENT = 200_000
 
 _TABLE = np.random.default_rng(20_260_101)
 _BYTE = _TABLE.integers(0, 2**64, 256, np.uint64)
@@ -106,6 +115,12 @@ def signature(found: np.ndarray) -> np.ndarray:
     return least
 
 
+def packed_marks(values: np.ndarray) -> bytes:
+    """Two bits of each value of a signature."""
+    two = (values & np.uint32(3)).astype(np.uint8).reshape(MARK_BYTES, 4)
+    return (two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes()
+
+
 def set_table(docs: DataFrame, key: str) -> DataFrame:
     """key, n_shingles, the set's 128-bit name (name_a, name_b), signature bytes and marks."""
 
@@ -123,8 +138,7 @@ def set_table(docs: DataFrame, key: str) -> DataFrame:
                 if len(found):
                     values = signature(found)
                     sig.append(values[: TREES * DEPTH].astype(">u4").tobytes())
-                    two = (values & np.uint32(3)).astype(np.uint8).reshape(MARK_BYTES, 4)
-                    marks.append((two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes())
+                    marks.append(packed_marks(values))
                 else:
                     sig.append(None)
                     marks.append(None)
@@ -205,7 +219,7 @@ def first_walk(rows: DataFrame) -> DataFrame:
 
 
 def second_walk(rows: DataFrame) -> DataFrame:
-    """Pairs of neighbours in different components that may be links."""
+    """Pairs of neighbours in different components that may be links; (id, null) for crowded rows."""
 
     def walk(batches):
         import pyarrow as pa
@@ -215,6 +229,8 @@ def second_walk(rows: DataFrame) -> DataFrame:
             return
         region, marks = _region(batch), _fixed(batch, "marks", MARK_BYTES)
         ids, n, own = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("id", "n_shingles", "component"))
+        some = np.unique(ids[_crowded(region)])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), pa.int64())], names=["a", "b"])
         for back in range(1, min(WINDOW, len(ids) - 1) + 1):
             later = np.flatnonzero(region[back:] == region[:-back]) + back
             if not len(later):
@@ -229,6 +245,15 @@ def second_walk(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(walk, "a long, b long")
 
 
+def _crowded(region: np.ndarray) -> np.ndarray:
+    """Rows of regions that the look-back does not cover, or that may go on in the range before or after."""
+    starts = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
+    sizes = np.diff(np.append(starts, len(region)))
+    crowded = sizes > WINDOW + 1
+    crowded[[0, -1]] = True
+    return np.repeat(crowded, sizes)
+
+
 def in_order(rows: DataFrame, ranges: int) -> DataFrame:
     """Sort over all rows; place comes first, so equal prefixes stand together, and id makes every key divisible."""
     return rows.repartitionByRange(ranges, "place", "marks", "id").sortWithinPartitions("place", "marks", "id")
@@ -288,6 +313,142 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 
 
+def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Up to FREQUENT shingles that repeat within batches, sorted, and about how often they come."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [shingles(t) for (t,) in utf8_rows(batch, "text")]
+            names, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            often = n > 1
+            yield pa.RecordBatch.from_arrays([pa.array(names[often].view(np.int64)), pa.array(n[often])], names=["shingle", "n"])
+
+    counts = texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    names, n = top["shingle"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(names)
+    return names[order], n[order]
+
+
+def prefix_lengths(n: int) -> tuple[int, int]:
+    """How many of a set's first shingles a link needs, with a set that is not smaller and with one that is not larger.
+
+    A link shares at least 6/7 of the smaller set and 3/4 of the larger one.
+    """
+    return n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1, n - -(-PERCENT * n // 100) + 1
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """shingle, id, component, n_shingles, marks and short for each shingle of a set's prefix, rare ones first.
+
+    texts has id, component and text. Any two sets at the threshold have a
+    common shingle in the short prefix of the smaller and the whole of the larger.
+    """
+    often = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
+
+    def cut(batches):
+        import pyarrow as pa
+
+        names, n = often.value
+        for batch in batches:
+            out = []
+            for key, component, text in utf8_rows(batch, "id", "component", "text"):
+                found = shingles(text)
+                at = np.minimum(np.searchsorted(names, found), max(0, len(names) - 1))
+                weight = np.where(names[at] == found, n[at], 0) if len(names) else np.zeros(len(found), np.int64)
+                short, whole = prefix_lengths(len(found))
+                first = found[np.lexsort((found, weight))[:whole]].view(np.int64).tolist()
+                marks = packed_marks(signature(found))
+                out += [(s, key, component, len(found), marks, i < short) for i, s in enumerate(first)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+            columns = zip(*out, strict=True) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                names=["shingle", "id", "component", "n_shingles", "marks", "short"],
+            )
+
+    return texts.select("id", "component", "text").mapInArrow(
+        cut, "shingle long, id long, component long, n_shingles long, marks binary, short boolean"
+    )
+
+
+def _met(ids, n, own, marks, short, block) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of two blocks (or one, with itself): pairs in different components that may be links."""
+    ones, twos = [], []
+    apart = block[0] != block[-1] if len(block) else False
+    for i in np.flatnonzero(short):
+        fit = (own != own[i]) & (n >= n[i]) & (100 * n[i] >= PERCENT * n)
+        if apart:
+            fit &= block != block[i]
+        other = np.flatnonzero(fit)
+        if len(other):
+            other = other[_SAME[marks[other] ^ marks[i]].sum(axis=1, dtype=np.int64) >= LEAST_AGREEING]
+            ones.append(np.full(len(other), ids[i]))
+            twos.append(ids[other])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *ones]), np.concatenate([none, *twos])
+
+
+def crowd_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of prefixes() rows with a common shingle, in different components, that may be links."""
+    lists = rows.groupBy("shingle").agg(
+        F.count("*").alias("size"), F.max("short").alias("any"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    lists = lists.where("any and low < high").select("shingle", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = rows.join(lists, "shingle").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).drop("with", "blocks")
+    group = ["shingle", "i", "j"]
+
+    def compare(batches):
+        import pyarrow as pa
+
+        names = ("id", "n_shingles", "component", "short", "block")
+
+        def pairs(table, whole: bool):
+            """Links of the groups in sorted rows, and where the last group begins unless the rows are whole."""
+            keys = np.stack([table[c].to_numpy() for c in group])
+            columns = [table[c].to_numpy() for c in names]
+            marks = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(-1, MARK_BYTES)
+            starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
+            ends = [*starts[1:], len(marks)]
+            ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at, end in zip(starts if whole else starts[:-1], ends):
+                if end - at > 1:
+                    ids, n, own, short, block = (c[at:end] for c in columns)
+                    one, two = _met(ids, n, own, marks[at:end], short, block)
+                    ones.append(one)
+                    twos.append(two)
+            one, two = np.concatenate(ones), np.concatenate(twos)
+            arrays = [pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))]
+            return pa.RecordBatch.from_arrays(arrays, names=["a", "b"]), starts[-1]
+
+        held: list = []
+        for batch in batches:
+            if len(batch):
+                table = pa.Table.from_batches([*held, batch])
+                found, rest = pairs(table, False)
+                held = table.slice(rest).to_batches()
+                yield found
+        if held:
+            yield pairs(pa.Table.from_batches(held), True)[0]
+
+    spread = rows.repartition(*group).sortWithinPartitions(*group, "block", "id")
+    return spread.mapInArrow(compare, "a long, b long").distinct()
+
+
+def merged_by(links: DataFrame, found: DataFrame) -> DataFrame:
+    """(component, final) of the components in found that links (a, b) between ids connect."""
+    for end in ("a", "b"):
+        at = found.select(F.col("id").alias(end), F.col("component").alias(f"at_{end}"))
+        links = links.join(at, end, "left").withColumn(f"at_{end}", F.coalesce(f"at_{end}", end))
+    links = links.select(F.greatest("at_a", "at_b").alias("a"), F.least("at_a", "at_b").alias("b")).where("a != b")
+    merged = components(settle(links.distinct(), "cross-links"))
+    return merged.select(F.col("id").alias("component"), F.col("component").alias("final"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id, kept.
 
@@ -325,14 +486,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     known = live.drop("other", "same").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     # other cuts than before, so that what a range's end has parted meets here
     more = settle(second_walk(in_order(known, ranges + 1)).distinct(), "cross-edges")
-    links = confirmed(more, docs, key)
-    for end in ("a", "b"):
-        at = found.select(F.col("id").alias(end), F.col("component").alias(f"at_{end}"))
-        links = links.join(at, end, "left").withColumn(f"at_{end}", F.coalesce(f"at_{end}", end))
-    links = links.select(F.greatest("at_a", "at_b").alias("a"), F.least("at_a", "at_b").alias("b")).where("a != b")
-    merged = components(settle(links.distinct(), "cross-links"))
-    merged = merged.select(F.col("id").alias("component"), F.col("component").alias("final"))
+    merged = merged_by(confirmed(more.where("b is not null"), docs, key), found)
     ids = classes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    ids = ids.join(merged, "component", "left").select("id", *name, F.coalesce("final", "component").alias("component"))
+    ids = settle(ids, "classes")
+    crowd = more.where("b is null").select(F.col("a").alias("id")).join(ids.select("id", "component").distinct(), "id")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = texts.where("text is not null").join(crowd.hint("merge"), "id").distinct()
+    rest = settle(crowd_pairs(settle(prefixes(settle(texts, "crowd", "zstd")), "prefixes")), "crowd-edges")
+    merged = merged_by(confirmed(rest, docs, key), ids.select("id", "component").distinct())
     ids = ids.join(merged, "component", "left").select(*name, F.coalesce("final", "component").alias("component_id"))
     own = sets.select("id", *name).join(ids, name, "left")
     own = own.withColumn("component_id", F.coalesce("component_id", "id"))

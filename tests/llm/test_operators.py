@@ -175,6 +175,33 @@ def test_near_duplicates(spark, docs, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
+def test_links_beyond_the_look_back(spark):
+    """1500 texts of one template (similarity 84 / 116), 30 pairs of them a bit nearer (86 / 114) that nothing else connects."""
+    template = [f"t{i}" for i in range(88)]
+    rows, want = [], {}
+    for i in range(1500):
+        common = [f"p{i % 750}a", f"p{i % 750}b"] if i % 750 < 30 else [f"o{i}a", f"o{i}b"]
+        rows.append((i, " ".join([*template, *common, *(f"o{i}w{j}" for j in range(14))])))
+        want[i] = i % 750 if i % 750 < 30 else i
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
+
+
+def test_prefixes_of_linked_sets_meet():
+    rng = random.Random(6)
+    order = list(range(400))
+    for _ in range(3000):
+        small = rng.randint(1, 60)
+        large = rng.randint(small, min(80, small * 100 // 75))
+        least = -(-75 * (small + large) // 175)
+        both = rng.sample(order, least)
+        rest = rng.sample([x for x in order if x not in set(both)], small + large - 2 * least)
+        one, two = sorted(both + rest[: small - least]), sorted(both + rest[small - least :])
+        short, _ = near_dedup.prefix_lengths(small)
+        _, whole = near_dedup.prefix_lengths(large)
+        assert set(one[:short]) & set(two[:whole])
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**64, 3000, np.uint64)
