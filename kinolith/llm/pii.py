@@ -108,7 +108,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     digits = _ANY.search(text) is not None
     for kind, pattern in _GENERATORS.items():
         if kind == "written_email":
-            if not (" at " in text or "at)" in text or "at]" in text or "at}" in text) or "dot" not in text:
+            if not (" at " in text or "at)" in text or "at]" in text or "at}" in text):
                 continue
         elif not digits or (kind == "ipv6" and text.count(":") < 3):
             continue
@@ -133,16 +133,18 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
         float(MODEL_KINDS.index(kind)), float(len(hit)), float(len(digits)), float(len(groups)), *map(float, sizes[:4]),
         float(hit.count(" ")), float(hit.count("-")), float(hit.count(".")), float(hit.count("/")), float("(" in hit),
         float(hit[:1] == "0"), year, checked, float(luhn(digits) if digits else False),
-        float(re.search(r"(?i)[(\[{](?:at|dot)", hit) is not None), float(re.search(r"(?i) dot |[(\[{]dot", hit) is not None),
+        float(re.search(r"[(\[{]at", hit) is not None), float(re.search(r"[.] | [.]", hit) is not None), float(re.search(r"(?i) (?:at|dot) (?:the|an?|this|that|each|every|his|her|its|is|on|of|in|and|to)\b", hit) is not None),
+        float(re.search(r"(?:\.| |\)|\]|\})(?:com|org|net|edu|gov|info|biz|io|eu|co|uk|de|fr|es|it|nl|ch|at|us|ca|au)\Z", hit) is not None), float(len(groups[-1]) if groups else 0), float(re.search(r"(?i) dot |[(\[{]dot", hit) is not None),
         *(float(p.search(before) is not None) for p in _CONTEXT),
         float(before[-1:].isalnum()), float(after[:1] in ("%", "€", "$")), float(len(set(digits))),
     ]
 
 
 def _filled(rng: random.Random, form: str) -> str:
-    """A template with d for a digit, A for a capital, a for a letter, x for a hex digit."""
+    """A template with d for a digit, A for a capital, a for a letter, x for a hex digit; what stands in <> stays."""
     made = {"d": "0123456789", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "a": "abcdefghijklmnopqrstuvwxyz", "x": "0123456789abcdef"}
-    return "".join(rng.choice(made[c]) if c in made else c.replace("&", "") for c in form)
+    parts = re.split(r"<([^>]*)>", form)
+    return "".join(p if i % 2 else "".join(rng.choice(made[c]) if c in made else c for c in p) for i, p in enumerate(parts))
 
 
 def training_lines(count: int = TRAINING_LINES, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -153,16 +155,29 @@ def training_lines(count: int = TRAINING_LINES, seed: int = 11) -> tuple[np.ndar
     bank = ("IBAN ", "account ", "transfer to ", "Konto ")
     mail = ("mail me: ", "contact ", "write to ", "email ", "")
     plain = ("order ", "invoice no ", "version ", "isbn ", "item ", "total $", "ref ", "page ", "serial ", "build ", "", "", "and ", "in the ")
+    written = tuple(
+        f.replace("~", f"<{end}>")
+        for f in (
+            "aaaa.aaaa (<at>) aaaaaa (<dot>) ~", "aaaaa [<at>] aaaaaa [<dot>] ~", "aaaa <at> aaaaaa <dot> ~", "aaaadd(<at>)aaaaa(<dot>)~", "aaaa {<at>} aaaaaa {<dot>} ~",
+            "aaaa (<at>) aaaaaa.~", "aaaa.aaaaa[<at>]aaaaaaa.~", "aaaaa_aa <at> aaa-aaaa <dot> aa <dot> ~", "aaaaaa (<at>) aaaaaaa <dot> ~",
+        )
+        for end in ("com", "org", "net", "edu", "de", "fr", "co.uk", "info", "aa", "aaa")
+    )
+    written = tuple(f.replace("<aa>", "aa").replace("<aaa>", "aaa") for f in written)
+    prose = (
+        "aaaa <at> aaaa. aaaaaaa", "aaa <at> aaa.aaa", "aaaaa <at> aaaaaa.aaaa", "aaaa <at> aaaa. <The dot is>", "aaaaa <at> aaaaaa. <A dot> aaaa", "aaaa <at> aaaa.<Then dot> aaaaa",
+        "aaaa <at the dot on>", "aaaaa <at the> aaaa <dot in>", "aaaa <at a dot of>", "aaaa <at each dot and>", "aaaa <at this dot> aaaaaa", "aaaa <at the dot> aaaaa", "aaaa <at> aaaaa <dot> aaaaaaa",
+    )
     yes = (
         ("number", lead, ("ddd-ddd-dddd", "(ddd) ddd-dddd", "ddd.ddd.dddd", "0dd dddddddd", "0d dd dd dd dd", "0ddd/ddddddd")),
         ("number", record, ("ddd-dd-dddd", "dd ddd ddd ddd")),
-        ("written_email", mail, ("aaaa.aaaa (at) aaaaaa (dot) aaa", "aaaaa [at] aaaaaa [dot] aa", "aaaa at aaaaaa dot aaa", "aaaadd(at)aaaaa(dot)aa")),
+        ("written_email", mail, written),
         ("ipv6", ("from ", "host ", ""), ("xxxx:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx",)),
     )
     no = (
         ("number", plain, ("dddddddd", "dddddddddddd", "dddddddddddddddd", "d.d.d.d.d.d.d", "dddd-dd-dd", "dd/dd/dddd", "ddd-d-dd-dddddd-d", "dd.dd.dddd", "ddd ddd ddd", "dd-dd-dd-dd", "ddd-dd-dddd", "dddddd-dddddd")),
         ("account", plain, ("AAddAAAAdddd", "AAddddddAAAA", "AAdd dddd dddd")),
-        ("written_email", ("look ", "was ", ""), ("aaaa at aaaa. aaaaaaa", "aaa at aaa.aaa", "aaaaa at aaaaaa.aaaa")),
+        ("written_email", ("look ", "was ", ""), prose),
         ("ipv6", ("at ", "time ", "ratio "), ("dd:dd:dd:dd", "d:d:d:d", "dd:dd:dd:dd:dd")),
     )
     x, y = [], []

@@ -414,6 +414,20 @@ def test_private_data(spark, docs, nothing):
     assert pii.find(nothing).count() == 0
 
 
+def test_every_kind_is_trained():
+    x, y = pii.training_lines()
+    assert {(int(k), int(label)) for k, label in zip(x[:, 0], y)} == {(k, label) for k in range(len(pii.MODEL_KINDS)) for label in (0, 1)}
+
+
+WRITTEN = ["mail me: john.doe (at) example (dot) org", "john.doe (at) example.com", "sales[at]acme.co.uk", "bob at example dot org", "contact jane_roe at uni-x dot edu now"]
+PROSE = ["look at home. The dot is here", "we met at noon. Then a dot", "look at the dot on the page", "they stare at a dot of ink", "he arrived at home.The dot vanished", "we stop at each dot and wait"]
+
+
+@pytest.mark.parametrize("text, kinds", [(t, ["written_email"]) for t in WRITTEN] + [(t, []) for t in PROSE])
+def test_written_mail_addresses_and_prose(text, kinds):
+    assert [k for k, _, _ in pii.model_spans(text, pii.trained(), [])] == kinds
+
+
 def test_trees_generalise():
     x, y = pii.training_lines()
     held = np.arange(len(y)) // 2 % 2 == 1
