@@ -193,7 +193,11 @@ def quota_daily(spark, sf_dir):
     return quota.daily_usage(table(spark, sf_dir, "events"), "user_id", "ts", F.col("value")).withColumn("used", F.round("used", 4))
 
 
-@query()
+@query("""with recursive e as (select user_id, cast(ts as date) as day, ts, event_id, cast(case when event_type = 'error' then -round_even(value, 0) else round_even(value, 0) end as bigint) as delta,
+row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) as r from events),
+w as (select user_id, day, 0::bigint as r, null::timestamp as ts, null::bigint as event_id, null::bigint as delta, true as accepted, 0::bigint as used from (select distinct user_id, day from e)
+union all select e.user_id, e.day, e.r, e.ts, e.event_id, e.delta, e.delta <= 0 or w.used + e.delta <= 500, case when e.delta <= 0 or w.used + e.delta <= 500 then greatest(0, w.used + e.delta) else w.used end from w join e on w.user_id = e.user_id and w.day = e.day and e.r = w.r + 1)
+select user_id, day, ts, event_id, delta, accepted, used from w where r > 0""")
 def quota_reserve(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("delta", F.when(F.col("event_type") == "error", -F.rint("value")).otherwise(F.rint("value")).cast("long"))
     return quota.reserved(events, "user_id", "ts", "delta", 500, "event_id")

@@ -31,19 +31,34 @@ def walk(deltas: list[int], limit: int, used: int = 0) -> tuple[list[bool], list
 def reserved(events: DataFrame, key: str, at: str, delta: str, limit: int, tie: str) -> DataFrame:
     """key, day, at, tie, delta, accepted, used after it: per key and day in order of time.
 
-    A group is one key's day. Rows are a fold whose result depends on all
-    before it, which no window function can say.
+    A rule's result depends on all before it in its day, which no window
+    function can say. Days are hashed to partitions and sorted there, and one
+    pass folds over the rows as they come: nothing is held but the amount used,
+    however long a day is. A day with a null key is a day of its own; a null
+    delta changes nothing and is accepted.
     """
     kinds = {c: events.schema[c].dataType.simpleString() for c in (key, at, delta, tie)}
-    daily = events.select(key, at, tie, delta, F.to_date(at).alias("day"))
+    daily = events.select(key, F.to_date(at).alias("day"), at, tie, delta)
     schema = f"{key} {kinds[key]}, day date, {at} {kinds[at]}, {tie} {kinds[tie]}, {delta} {kinds[delta]}, accepted boolean, used long"
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([at, tie])
-        accepted, after, _ = walk(frame[delta].tolist(), limit)
-        return frame.assign(accepted=accepted, used=after)[[key, "day", at, tie, delta, "accepted", "used"]]
-
-    return daily.groupBy(key, "day").applyInPandas(run, schema)
+    def fold(batches):
+        import pyarrow as pa
+
+        day: tuple | None = None
+        used = 0
+        for batch in batches:
+            accepted, after = [], []
+            keys, days, deltas = (batch.column(i).to_pylist() for i in (0, 1, 4))
+            for k, d, x in zip(keys, days, deltas, strict=True):
+                if (k, d) != day:
+                    day, used = (k, d), 0
+                ok, _, used = walk([x or 0], limit, used)
+                accepted += ok
+                after.append(used)
+            columns = [*batch.columns, pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "accepted", "used"])
+
+    return daily.repartition(key, "day").sortWithinPartitions(key, "day", at, tie).mapInArrow(fold, schema)
 
 
 def reserved_stream(events: DataFrame, key: str, delta: str, limit: int) -> DataFrame:
