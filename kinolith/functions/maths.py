@@ -35,6 +35,21 @@ def root_inverse_weight(count: Column) -> Column:
     return F.sqrt(1.0 / count)
 
 
+def step_weight(label: Column, over: float = 4.0, weight: float = 2.0) -> Column:
+    """weight for labels over a limit, else one."""
+    return F.when(label > over, weight).otherwise(1.0)
+
+
+def log_with_base(x: Column, base: float) -> Column:
+    """Logarithm to a base; null where x is not positive."""
+    return F.when(x > 0, F.log(x) / math.log(base))
+
+
+def other_base(x: Column, old: float, new: float) -> Column:
+    """A logarithm to one base as one to another."""
+    return x * (math.log(old) / math.log(new))
+
+
 def winkler(y: Column, low: Column, high: Column, alpha: float) -> Column:
     """Interval score: width plus 2 / alpha times the distance outside."""
     miss = F.greatest(low - y, F.lit(0.0)) + F.greatest(y - high, F.lit(0.0))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -117,18 +118,44 @@ def padded_ids(tokens: Column, ids: Column, size: int = 220, pad: int = 0, unkno
     return F.concat(whole, F.array_repeat(F.lit(pad), F.greatest(F.lit(0), size - F.size(whole))))
 
 
-def redacted_line(line: Column) -> Column:
-    """A log line without paths: rules from special to general, in this order."""
-    rules: Sequence[tuple[str, str]] = (
-        (r"/\S*conda\S*", "<ENV>"),
-        (r"/tmp/\S*query\S*", "<QUERY>"),
-        (r"/tmp/\S*result\S*", "<RESULT>"),
-        (r"\S+\.(fasta|fa|faa)\b", "<FASTA>"),
-        (r"\b\S*targetdb\S*", "<TARGET_DB>"),
-        (r"https?://[^\s\"<>]+", "<URL>"),
-        (r"(?<![\w<])/(?:[\w.-]+/)+[\w.-]*", "<PATH>"),
-    )
-    for pattern, label in rules:
+#: Rules for log lines, in the order in which they apply. Fixed values.
+TEMPORARY = (
+    (r"/tmp/tmp[a-zA-Z0-9_]+/queryDB(?:_h)?", "[TMP_QUERY_DB]"),
+    (r"/tmp/tmp[a-zA-Z0-9_]+/resultDB(?:_h)?", "[TMP_RESULT_DB]"),
+    (r"/tmp/tmp[a-zA-Z0-9_]+/result\.m8", "[TMP_RESULT_M8]"),
+    (r"/tmp/tmp[a-zA-Z0-9_]+", "[TMP_DIR]"),
+    (r"/tmp/[^\s]+", "[TMP]"),
+)
+LABELS = (
+    (r"\bqueryDB_h\b", "[QUERY_DB_H]"),
+    (r"\bresultDB_h\b", "[RESULT_DB_H]"),
+    (r"\bqueryDB\b", "[QUERY_DB]"),
+    (r"\bresultDB\b", "[RESULT_DB]"),
+    (r"\bresult\.m8\b", "[RESULT_M8]"),
+    (r"\bpref_\d+\b", "[PREF_DB]"),
+)
+GENERAL = (
+    (r"(?:/home/[^/\s]+/anaconda3/bin/conda|/opt/conda/bin/conda)", "[CONDA]"),
+    (r"/home/[^/\s]+", "[HOME]"),
+    (r"(?<![\w.-])/(?:[^\s]+)", "[PATH]"),
+)
+
+
+def redacted_line(line: Column, targets: Mapping[str, str] | None = None, folders: Mapping[str, str] | None = None) -> Column:
+    """A log line without paths.
+
+    targets are known databases by name: their paths, and then their file
+    names as words, become TARGET_DB(name). folders are path prefixes with
+    their labels, longest first. Then come the rules above, in order.
+    """
+    for name, path in (targets or {}).items():
+        label = f"TARGET_DB({name})"
+        line = F.replace(line, F.lit(path), F.lit(label))
+        base = path.rstrip("/").rsplit("/", 1)[-1]
+        line = F.regexp_replace(line, rf"\b{re.escape(base)}\b", label)
+    for folder in sorted(folders or {}, key=len, reverse=True):
+        line = F.replace(line, F.lit(folder), F.lit(folders[folder]))
+    for pattern, label in (*TEMPORARY, *LABELS, *GENERAL):
         line = F.regexp_replace(line, pattern, label)
     return line
 
@@ -152,3 +179,45 @@ def multi_hot(positions: Column, size: Column) -> Column:
     """0/1 array with ones at the 0-based positions of a comma list."""
     at = F.transform(F.split(positions, ","), lambda p: F.expr("0") + F.try_to_number(F.trim(p), F.lit("999999")).cast("int"))
     return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when(F.array_contains(at, i), 1).otherwise(0))
+
+
+def joined_key(*parts: Column, separator: str = "&") -> Column:
+    """The parts as one key; a separator or backslash inside a part is escaped, so different parts never give one key."""
+    escaped = [F.replace(F.replace(p.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit(separator), F.lit("\\" + separator)) for p in parts]
+    return F.concat_ws(separator, *[F.coalesce(e, F.lit("")) for e in escaped])
+
+
+def nested_parts(text: Column, outer: str = "|", inner: str = ",") -> Column:
+    """All parts of a list of lists, in order."""
+    return F.flatten(F.transform(F.split(text, f"\\Q{outer}\\E"), lambda x: F.split(x, inner)))
+
+
+def letter_codes(text: Column, alphabet: str, size: int) -> Column:
+    """Places of the characters in an alphabet, from 1, filled up with 0 on the left to size; unknown ones are 0, longer texts keep their end."""
+    codes = F.transform(characters(text), lambda c: F.instr(F.lit(alphabet), c))
+    whole = F.concat(F.array_repeat(F.lit(0), size), codes)
+    return F.slice(whole, -size, size)
+
+
+def from_letter_codes(codes: Column, alphabet: str) -> Column:
+    """The text of letter_codes(), without what it left out."""
+    return F.array_join(F.transform(F.filter(codes, lambda i: i > 0), lambda i: F.substring(F.lit(alphabet), i, F.lit(1))), "")
+
+
+def metabolite_type(text: Column) -> Column:
+    """KEGG (C or D and five digits), InChI, SMILES or invalid, by form only.
+
+    A SMILES has letters, digits and its signs alone, and as many opening as closing brackets.
+    """
+    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    signs = text.rlike(r"^[A-Za-z0-9@+\-\[\]()=#$%/\\.:*~]+$") & text.rlike("[A-Za-z]")
+    balanced = (count("(") == count(")")) & (count("[") == count("]"))
+    return (
+        F.when(text.rlike(r"^[CD]\d{5}$"), "KEGG").when(F.startswith(text, F.lit("InChI=")), "InChI").when(signs & balanced, "SMILES").otherwise("invalid")
+    )
+
+
+def reaction(left: Column, right: Column) -> Column:
+    """`a.b>>c` of two arrays; null where a side is empty or has an invalid part."""
+    fine = lambda side: (F.size(side) > 0) & F.forall(side, lambda x: metabolite_type(x) != "invalid")
+    return F.when(fine(left) & fine(right), F.concat(F.array_join(left, "."), F.lit(">>"), F.array_join(right, ".")))

@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinolith.operators.staging import settled
+
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], position: Sequence[str]) -> DataFrame:
     """The row of each key that comes first by position.
@@ -38,17 +40,59 @@ def first_seen_ids(rows: DataFrame, value: str, position: str, name: str = "id")
 
 def dense_rank_over_ranges(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """rows with a 0-based number in the total order of `order`, without one task for all rows."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = placed.withColumn("_mono", F.monotonically_increasing_id())
-    numbered = numbered.withColumns(
-        {"_part": F.shiftright("_mono", 33), "_at": F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))}
-    )
-    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    return running_total(rows, order, F.lit(1), name).withColumn(name, F.col(name) - 1)
+
+
+def running_total(rows: DataFrame, order: Sequence[str], amount: Column, name: str) -> DataFrame:
+    """rows with the sum of amount up to and with each row, in the total order of `order`.
+
+    Rows are sorted into ranges and summed up inside each; every range then
+    adds what the ranges before it hold. The ranges are written down before
+    they are summed, as a second evaluation could cut them elsewhere. Rows that
+    are equal in `order` follow each other in any order.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(parts, *order).withColumns({"_part": F.spark_partition_id(), "_amount": amount.cast("long")})
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = settled(placed.withColumn("_inside", F.sum("_amount").over(inside)))
+    sizes = placed.groupBy("_part").agg(F.sum("_amount").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     base = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return numbered.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_at")).drop(
-        "_mono", "_part", "_at", "_base"
-    )
+    return placed.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_inside")).drop("_part", "_amount", "_inside", "_base")
+
+
+def rank_in_groups(rows: DataFrame, groups: Sequence[str], order: Sequence[str], name: str, size: str | None = None) -> DataFrame:
+    """rows with a 0-based number in their group's order, and the group's size; a group may span many ranges."""
+    numbered = dense_rank_over_ranges(rows, [*groups, *order], "_number")
+    own = [f"_g{i}" for i in range(len(groups))]
+    first = numbered.groupBy(*groups).agg(F.min("_number").alias("_first"), F.count("*").alias("_size")).toDF(*own, "_first", "_size")
+    joined = numbered.join(first, [F.col(g).eqNullSafe(F.col(o)) for g, o in zip(groups, own, strict=True)])
+    return joined.select(*rows.columns, (F.col("_number") - F.col("_first")).alias(name), *([F.col("_size").alias(size)] if size else []))
+
+
+def quantiles(rows: DataFrame, groups: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
+    """One row per group with its exact quantiles, interpolated linearly, under the names of shares; nulls are left out.
+
+    From counts per distinct value and their running total, so no group is ever
+    held in one task. Without groups it is one row for the whole table.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    up = running_total(counts, [*groups, "_v"], F.col("_k"), "_all")
+    ends = up.groupBy(*groups).agg(F.min(F.col("_all") - F.col("_k")).alias("_first"), F.sum("_k").alias("_n"))
+    if groups:
+        up = up.join(ends.toDF(*[f"_g{i}" for i in range(len(groups))], "_first", "_n"), [up[g].eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)])
+    else:
+        up = up.crossJoin(F.broadcast(ends))  # one row
+    upto = F.col("_all") - F.col("_first")
+    found = []
+    for name, share in shares.items():
+        at = F.lit(float(share)) * (F.col("_n") - 1)
+        found.append(F.min(F.when(upto > F.floor(at), F.col("_v"))).alias(f"_low_{name}"))
+        found.append(F.min(F.when(upto > F.ceil(at), F.col("_v"))).alias(f"_high_{name}"))
+        found.append(F.max(at - F.floor(at)).alias(f"_part_{name}"))
+    picked = up.groupBy(*groups).agg(*found)
+    value_of = lambda n: F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}")
+    return picked.select(*groups, *[value_of(n).alias(n) for n in shares])
 
 
 def ordered_distinct(rows: DataFrame, value: str, position: str) -> DataFrame:
@@ -87,29 +131,53 @@ def attach_sequence(facts: DataFrame, by_id: DataFrame, by_pair: DataFrame, ids:
     return found.withColumn("sequence", F.coalesce("_own", "sequence")).drop("_ids", "_id0", "_id1", "_s0", "_s1", "_own")
 
 
+#: A list of parts with more rows is not broadcast.
+MOST_PARTS = 10_000
+
+
 def contained_in(left: DataFrame, right: DataFrame, text: str, part: str, position: str, missing: str = "*") -> DataFrame:
-    """For each distinct text the first row of right, by position, whose part it contains, else missing.
+    """For each text the first row of right, by position, whose part it contains anywhere, else missing; case is folded.
 
-    right is a name list; every word of a text is looked up, so the join is on
-    words that begin a part and not on all pairs.
+    Each distinct text is looked at once. right is a name list: its size is
+    checked, and up to MOST_PARTS rows go to every task as one array. A longer
+    list meets the texts over the part's first three letters, which every text
+    that contains it has too; parts shorter than that stay in the array.
     """
-    words = left.select(text).distinct().select(text, F.explode(F.split(F.lower(text), r"[^a-z0-9]+")).alias("_word"))
-    heads = right.select(part, position, F.element_at(F.split(F.lower(part), r"[^a-z0-9]+"), 1).alias("_word"))
-    hits = words.join(heads, "_word").where(F.contains(F.lower(text), F.lower(part)))
-    first = hits.groupBy(text).agg(F.min(F.struct(position, part)).alias("_hit"))
-    found = first.select(text, F.col("_hit")[part].alias(part))
+    texts = left.select(text).distinct()
+    names = right.select(F.col(position).alias("position"), F.col(part).alias("part"), F.lower(part).alias("low"))
+    few = names
+    if right.limit(MOST_PARTS + 1).count() > MOST_PARTS:
+        few = names.where(F.length("low") < 3)
+        spans = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substring(F.lower(text), i, F.lit(3)))
+        heads = texts.select(text, F.explode(F.array_distinct(spans)).alias("_head"))
+        long = heads.join(names.where(F.length("low") >= 3).withColumn("_head", F.substring("low", 1, 3)), "_head")
+        long = long.where(F.contains(F.lower(text), F.col("low"))).groupBy(text).agg(F.min(F.struct("position", "part")).alias("_hit"))
+    listed = few.agg(F.array_sort(F.collect_list(F.struct("position", "part", "low"))).alias("_parts"))
+    first = F.get(F.filter("_parts", lambda p: F.contains(F.lower(text), p["low"])), F.lit(0))
+    hits = texts.crossJoin(F.broadcast(listed)).select(text, F.struct(first["position"].alias("position"), first["part"].alias("part")).alias("_hit"))  # one row on the right
+    hits = hits.where("_hit.position is not null")
+    if few is not names:
+        hits = hits.union(long).groupBy(text).agg(F.min("_hit").alias("_hit"))
+    found = hits.select(text, F.col("_hit.part").alias(part))
     return left.join(found, text, "left").withColumn(part, F.coalesce(part, F.lit(missing)))
 
 
-def override(rows: DataFrame, facts: DataFrame, keys: Sequence[str], value: str, source: str = "source") -> DataFrame:
-    """value of the first matching fact, by its position, where there is one, and where it comes from."""
-    first = first_per_key(facts, keys, ["position"]).select(*keys, F.col(value).alias("_fact"))
-    return rows.join(first, list(keys), "left").withColumns(
+def override(
+    rows: DataFrame, facts: DataFrame, keys: Sequence[str], value: str, source: str = "source", guard: str | None = None
+) -> DataFrame:
+    """value of the first matching fact, by its position, where there is one, and where it comes from.
+
+    With guard, a column of both, a fact counts only where it agrees: facts
+    that do not are left out before the first is taken, or a stale one would hide the right one.
+    """
+    on = [*keys, *([guard] if guard else [])]
+    first = first_per_key(facts, on, ["position"]).select(*on, F.col(value).alias("_fact"))
+    return rows.join(first, on, "left").withColumns(
         {
             value: F.coalesce("_fact", value),
             source: F.when(F.col("_fact").isNotNull(), "experiment").when(F.col(value).isNotNull(), "prediction"),
         }
-    ).drop("_fact")
+    ).drop("_fact").select(*rows.columns, source)
 
 
 def misses(keys: DataFrame, cache: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -117,6 +185,17 @@ def misses(keys: DataFrame, cache: DataFrame, on: Sequence[str]) -> DataFrame:
     return keys.join(cache, list(on), "left_anti")
 
 
+def unseen(test: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of test in which at least one of the columns has a value that train never has; a null is a value never seen."""
+    marks = test
+    for i, c in enumerate(columns):
+        marks = marks.join(train.select(c).distinct().withColumn(f"_seen{i}", F.lit(True)), c, "left")
+    new = F.lit(False)
+    for i in range(len(columns)):
+        new = new | F.col(f"_seen{i}").isNull()
+    return marks.where(new).select(*test.columns)
+
+
 def conflicts(new: DataFrame, old: DataFrame) -> DataFrame:
     """Class of each row (id, seq) of new against old: same, id_conflict, seq_conflict or new."""
     by_id = old.select("id", F.col("seq").alias("_seq"))
@@ -137,6 +216,33 @@ def preferred_order(rows: DataFrame, first: Sequence[str]) -> DataFrame:
     return rows.select(*have, *[c for c in rows.columns if c not in have])
 
 
+def inserted_front(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """rows with new columns before all others; a column of the same name is replaced."""
+    return rows.select(*[c.alias(n) for n, c in columns.items()], *[c for c in rows.columns if c not in columns])
+
+
+def row_numbers(rows: DataFrame, position: str, name: str = "row_num") -> DataFrame:
+    """rows with a number from 1 in order of position."""
+    return dense_rank_over_ranges(rows, [position], name).withColumn(name, F.col(name) + 1)
+
+
+def named_or_default(rows: DataFrame, names: DataFrame, keys: Sequence[str], value: str, default: str | None = "") -> DataFrame:
+    """value by keys; the default where there is none, or, if that is null, only rows that have one."""
+    if default is None:
+        return rows.join(names.where(F.col(value).isNotNull()), list(keys))
+    return rows.join(names, list(keys), "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def completed(rows: DataFrame, parts: Sequence[tuple[DataFrame, Sequence[str], str]], name: str = "complete") -> DataFrame:
+    """rows with a feature from each part (table, keys, feature) and whether all are there."""
+    for part, keys, feature in parts:
+        rows = rows.join(part.select(*keys, feature), list(keys), "left")
+    whole = F.lit(True)
+    for _, _, feature in parts:
+        whole = whole & F.col(feature).isNotNull()
+    return rows.withColumn(name, whole)
+
+
 def recoded(value: Column, mapping: Mapping[str, str]) -> Column:
     """value by a fixed map; null where it has none."""
     entries = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])

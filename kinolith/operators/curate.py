@@ -51,3 +51,15 @@ def against_reference(rows: DataFrame, keys: Sequence[str], kind: str, reference
 def listed(rows: DataFrame, key: str, value: str, separator: str = ";") -> DataFrame:
     """Sorted distinct values per key as text."""
     return rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.col(value).cast("string"))), separator).alias(value))
+
+
+def trainable(rows: DataFrame, sequence: str, value: str, structure: str, longest: int = 1499) -> DataFrame:
+    """Rows with a sequence up to a length, a positive value (whose logarithm exists) and a structure of one part."""
+    return rows.where((F.length(sequence) <= longest) & (F.col(value) > 0) & ~F.contains(structure, F.lit(".")))
+
+
+def maxima_with_paths(rows: DataFrame, keys: Sequence[str], value: str, path: str, separator: str = ";") -> DataFrame:
+    """Largest value per key and its distinct paths, sorted and joined."""
+    return rows.groupBy(*keys).agg(
+        F.max(value).alias(value), F.array_join(F.array_sort(F.collect_set(path)), separator).alias(path)
+    )

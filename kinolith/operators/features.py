@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinolith.operators.assembly import first_seen_ids
+from kinolith.operators.assembly import dense_rank_over_ranges, first_seen_ids, quantiles, rank_in_groups
 
 
 def vocabulary(rows: DataFrame, tokens: Column) -> DataFrame:
@@ -53,10 +55,36 @@ def standard_scaled(rows: DataFrame, key: str, vector: str) -> DataFrame:
 def robust_scaled(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """key, dim, z by median and interquartile range."""
     long = rows.select(key, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = long.groupBy("dim").agg(q.alias("q"))
-    width = F.get("q", F.lit(2)) - F.get("q", F.lit(0))
-    return long.join(F.broadcast(stats), "dim").select(key, "dim", F.coalesce(F.try_divide(F.col("x") - F.get("q", F.lit(1)), width), F.lit(0.0)).alias("z"))
+    stats = quantiles(long, ["dim"], "x", {"low": 0.25, "middle": 0.5, "high": 0.75})  # a row a dimension
+    z = F.try_divide(F.col("x") - F.col("middle"), F.col("high") - F.col("low"))
+    return long.join(F.broadcast(stats), "dim").select(key, "dim", F.coalesce(z, F.lit(0.0)).alias("z"))
+
+
+def in_canonical_order(blocks: Mapping[str, Column], order: Sequence[str]) -> Column:
+    """The blocks' vectors as one, in a fixed order of their names whatever order they come in; unknown names are an error."""
+    unknown = sorted(set(blocks) - set(order))
+    if unknown:
+        raise ValueError(f"blocks without a place: {', '.join(unknown)}")
+    return F.concat(*[blocks[name] for name in order if name in blocks])
+
+
+def stacked(rows: DataFrame, key: str, tree: str, value: str) -> DataFrame:
+    """key and the array of its values in order of tree: one row of a matrix with a column per tree."""
+    ordered = F.array_sort(F.collect_list(F.struct(tree, value)))  # as many as there are trees
+    return rows.groupBy(key).agg(F.transform(ordered, lambda s: s[value]).alias("trees"))
+
+
+def reduced(rows: DataFrame, key: str, vector: str, size: int, fitted=None):
+    """(key and principal components of standardised vectors, the fitted model); a fitted model is used again as it is."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    ready = rows.select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_v"))
+    if fitted is None:
+        stages = [StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=True), PCA(k=size, inputCol="_z", outputCol="_p")]
+        fitted = Pipeline(stages=stages).fit(ready)
+    return fitted.transform(ready).select(key, vector_to_array("_p").alias(vector)), fitted
 
 
 def graph_labels(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
@@ -78,8 +106,13 @@ def graph_labels(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
 
 
 def evenly_spaced(rows: DataFrame, group: str, order: list[str], picks: int) -> DataFrame:
-    """picks rows of each group at even places of its order."""
-    over = Window.partitionBy(group)
-    ranked = rows.withColumns({"_r": F.row_number().over(over.orderBy(*order)) - 1, "_n": F.count("*").over(over)})
-    places = F.transform(F.sequence(F.lit(0), F.lit(picks - 1)), lambda p: F.floor(p * (F.col("_n") - 1) / (picks - 1)).cast("int"))
-    return ranked.where(F.array_contains(places, F.col("_r"))).drop("_r", "_n")
+    """picks rows of each group at even places of its order; ranks come from ranges, so a group may be of any size."""
+    ranked = rank_in_groups(rows, [group], order, "_r", "_n")
+    places = F.transform(F.sequence(F.lit(0), F.lit(picks - 1)), lambda p: F.floor(p * (F.col("_n") - 1) / (picks - 1)).cast("long"))
+    return ranked.where(F.array_contains(places, F.col("_r"))).select(*rows.columns)
+
+
+def length_batches(rows: DataFrame, length: str, key: str, size: int) -> DataFrame:
+    """rows with a batch number: size rows each, longest first."""
+    placed = dense_rank_over_ranges(rows.withColumn("_less", -F.col(length)), ["_less", key], "_r")
+    return placed.withColumn("batch", F.floor(F.col("_r") / size).cast("long")).drop("_less", "_r")

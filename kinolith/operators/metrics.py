@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from kinolith.functions import arrays, maths
+from kinolith.operators.assembly import quantiles, running_total
 
 
 def regression(rows: DataFrame, y: Column, predicted: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -41,28 +45,36 @@ def intervals(rows: DataFrame, trees: str, alpha: float, z: float | None = None)
 
 def interval_quality(rows: DataFrame, y: str, alpha: float, by: Sequence[str] = ()) -> DataFrame:
     """Coverage, gap to the nominal one, misses on either side, widths, error and interval score."""
-    width = F.col("high") - F.col("low")
+    wide = rows.withColumn("_width", F.col("high") - F.col("low"))
     inside = F.col(y).between(F.col("low"), F.col("high"))
-    return rows.groupBy(*by).agg(
+    found = wide.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.avg(inside.cast("double")).alias("coverage"),
         (F.avg(inside.cast("double")) - (1 - alpha)).alias("gap"),
         F.avg((F.col(y) < F.col("low")).cast("double")).alias("under"),
         F.avg((F.col(y) > F.col("high")).cast("double")).alias("over"),
-        F.avg(width).alias("width"),
-        F.percentile(width, F.lit(0.5)).alias("width_median"),
+        F.avg("_width").alias("width"),
         F.avg(F.abs(F.col(y) - F.col("centre"))).alias("mae"),
         F.avg(maths.winkler(F.col(y), F.col("low"), F.col("high"), alpha)).alias("winkler"),
         F.corr("spread", F.abs(F.col(y) - F.col("centre"))).alias("spread_error_corr"),
     )
+    widths = quantiles(wide, list(by), "_width", {"width_p10": 0.1, "width_median": 0.5, "width_p90": 0.9})
+    return found.join(widths, list(by)) if by else found.crossJoin(F.broadcast(widths))  # one row each
+
+
+def coverage_by_decile(rows: DataFrame, y: str, spread: str = "spread") -> DataFrame:
+    """decile (0 to 9) of the spread, n and coverage; deciles are cut at exact quantiles, ties stay together."""
+    cuts = quantiles(rows, [], spread, {f"q{i}": i / 10 for i in range(1, 10)})
+    marked = rows.crossJoin(F.broadcast(cuts))  # one row
+    decile = sum((F.col(spread) > F.col(f"q{i}")).cast("int") for i in range(1, 10))
+    inside = F.col(y).between(F.col("low"), F.col("high")).cast("double")
+    return marked.groupBy(decile.alias("decile")).agg(F.count("*").alias("n"), F.avg(inside).alias("coverage"))
 
 
 def average_ranks(rows: DataFrame, value: str) -> DataFrame:
-    """rows with the average rank of their value; ties share it. Ranks come from counts per value."""
+    """rows with the average rank of their value; ties share it. Ranks come from running totals over ranges of values."""
     counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
-    # distinct values are numbered over ranges, then summed over at most one row per distinct value
-    upto = F.sum("_k").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counts.select("_v", (upto - (F.col("_k") - 1) / 2).alias("rank"))
+    ranked = running_total(counts, ["_v"], F.col("_k"), "_upto").select("_v", (F.col("_upto") - (F.col("_k") - 1) / 2).alias("rank"))
     return rows.join(ranked, rows[value] == ranked["_v"]).drop("_v")
 
 
@@ -90,16 +102,54 @@ def confusion(rows: DataFrame, true: str, predicted: str, size: str) -> DataFram
         F.sum(F.col(size) - F.size(F.array_union(true, predicted))).alias("tn"),
     )
     share = lambda a, *b: F.try_divide(F.col(a), sum((F.col(x) for x in b), F.lit(0)))
+    precision, recall, specificity = share("tp", "tp", "fp"), share("tp", "tp", "fn"), share("tn", "tn", "fp")
     return sums.select(
         "tp", "fp", "fn", "tn",
-        share("tp", "tp", "fp").alias("precision"),
-        share("tp", "tp", "fn").alias("recall"),
-        share("tn", "tn", "fp").alias("specificity"),
+        precision.alias("precision"),
+        recall.alias("recall"),
+        specificity.alias("specificity"),
         F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("accuracy"),
-        F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"),
+        F.sqrt(specificity * recall).alias("g_mean"),
+        F.try_divide(2 * precision * recall, precision + recall).alias("f1"),
+        F.try_divide(5 * precision * recall, 4 * precision + recall).alias("f2"),
     )
 
 
+def beta_share(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    value = d
+    for m in range(1, 1000):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + top * d or tiny)
+            c = 1 + top / c or tiny
+            value *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * value
+
+
+def correlation_p(found: DataFrame, r: str = "pearson", n: str = "n", name: str = "p") -> DataFrame:
+    """found, which has a row per group, with the two-sided p-value of its correlations (Student's t, n - 2 degrees of freedom)."""
+
+    @F.pandas_udf(DoubleType())
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:
+        def one(x, count):
+            if not count > 2 or x != x:
+                return None
+            return beta_share((count - 2) / 2, 0.5, max(0.0, 1 - x * x))
+
+        return pd.Series([one(x, c) for x, c in zip(r, n, strict=True)], dtype=float)
+
+    return found.withColumn(name, p(F.col(r), F.col(n)))
+
+
 def fold_summary(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.count(value).alias("folds"))
 
@@ -116,3 +166,44 @@ def cumulative_share(rows: DataFrame, value: str, grid: Sequence[float]) -> Data
     counts = rows.where(F.col(value).isNotNull()).agg(*[F.count_if(F.col(value) <= g).alias(f"_{i}") for i, g in enumerate(grid)], F.count("*").alias("_n"))
     entries = F.array(*[F.struct(F.get(points, F.lit(i)).alias("point"), F.try_divide(F.col(f"_{i}"), F.col("_n")).alias("share")) for i in range(len(grid))])
     return counts.select(F.inline(entries))
+
+
+def cumulative_curve(rows: DataFrame, value: str, points: int = 50_000) -> DataFrame:
+    """point (0 to points - 1), x, share at or below x and whether x is the first past the median, on an even grid.
+
+    Each value is put to the first grid point not below it; the grid has a bounded number of rows.
+    """
+    some = rows.where(F.col(value).isNotNull())
+    ends = some.agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"), F.count("*").alias("n"))
+    step = (F.col("high") - F.col("low")) / (points - 1)
+    at = F.when(step > 0, F.ceil((F.col(value) - F.col("low")) / step)).otherwise(0)
+    placed = some.crossJoin(F.broadcast(ends)).groupBy(F.least(F.lit(points - 1), at).cast("int").alias("point")).agg(F.count("*").alias("k"))  # one row
+    grid = rows.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
+    full = grid.join(placed, "point", "left").na.fill(0, ["k"]).crossJoin(F.broadcast(ends))
+    upto = F.sum("k").over(Window.orderBy("point").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # points rows
+    curve = full.select("point", (F.col("low") + F.col("point") * step).alias("x"), F.try_divide(upto, F.col("n")).alias("share"))
+    before = F.lag("share", 1, 0.0).over(Window.orderBy("point"))
+    return curve.withColumn("median", (F.col("share") >= 0.5) & (before < 0.5))
+
+
+def histogram(rows: DataFrame, value: str, bins: int = 5_000) -> DataFrame:
+    """bin, low and n of the bins that hold something, of equal width between the least and the largest value."""
+    some = rows.where(F.col(value).isNotNull())
+    ends = some.agg(F.min(value).cast("double").alias("a"), F.max(value).cast("double").alias("z"))
+    width = (F.col("z") - F.col("a")) / bins
+    at = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("a")) / width))).otherwise(0).cast("int")
+    return some.crossJoin(F.broadcast(ends)).groupBy(at.alias("bin")).agg(  # one row
+        F.min(F.col("a") + at * width).alias("low"), F.count("*").alias("n")
+    )
+
+
+def density_grid(rows: DataFrame, x: str, y: str, cells: int = 50) -> DataFrame:
+    """Rows with density: how many rows share their cell of an even grid over both columns, as a share of all."""
+    ends = rows.agg(*[f(c).cast("double").alias(f"_{n}{c}") for c in (x, y) for n, f in (("a", F.min), ("z", F.max))], F.count("*").alias("_n"))
+    cell = {}
+    for c in (x, y):
+        width = (F.col(f"_z{c}") - F.col(f"_a{c}")) / cells
+        cell[f"cell_{c}"] = F.when(width > 0, F.least(F.lit(cells - 1), F.floor((F.col(c) - F.col(f"_a{c}")) / width))).otherwise(0).cast("int")
+    placed = rows.crossJoin(F.broadcast(ends)).withColumns(cell)  # one row
+    counts = placed.groupBy(*cell).agg((F.count("*") / F.max("_n")).alias("density"))
+    return placed.join(F.broadcast(counts), list(cell)).select(*rows.columns, *cell, "density")  # cells * cells rows

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinolith.functions.text import before_underscore
+from kinolith.operators.assembly import running_total
 
 
 def register(rows: DataFrame, text: str, position: str, at: Column | None = None) -> DataFrame:
@@ -41,14 +42,27 @@ def totals(registry: DataFrame) -> DataFrame:
 
 
 def length_quantiles(registry: DataFrame, length: str, quantiles: Sequence[float]) -> DataFrame:
-    """Values at ceil(q * n) of the sorted lengths, from counts per length: no sort of all rows."""
+    """Values at ceil(q * n) of the sorted lengths, from running totals of the counts per length: no sort of all rows."""
     counts = registry.groupBy(F.col(length).alias("v")).agg(F.count("*").alias("k"))
-    order = Window.orderBy("v")  # one row per distinct length
-    up = counts.select("v", F.sum("k").over(order).alias("upto"), F.sum("k").over(Window.partitionBy()).alias("n"))
+    up = running_total(counts, ["v"], F.col("k"), "upto")
+    up = up.crossJoin(F.broadcast(up.agg(F.sum("k").alias("n"))))  # one row
     wanted = F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("q")
     return up.select("v", "upto", "n", wanted).where(F.col("upto") >= F.ceil(F.col("q") * F.col("n"))).groupBy("q").agg(F.min("v").alias("value"))
 
 
+def extremes(registry: DataFrame, length: str, key: str) -> DataFrame:
+    """which (shortest, longest), key and length: the first by length and then key; of equal longest ones the smallest key."""
+    ends = registry.where(F.col(length).isNotNull()).agg(
+        F.min(F.struct(F.col(length).alias("size"), F.col(key).alias("k"))).alias("shortest"),
+        F.min(F.struct((-F.col(length)).alias("size"), F.col(key).alias("k"))).alias("longest"),
+    )
+    pairs = F.array(
+        F.struct(F.lit("shortest").alias("which"), F.col("shortest.k").alias(key), F.col("shortest.size").alias(length)),
+        F.struct(F.lit("longest").alias("which"), F.col("longest.k").alias(key), (-F.col("longest.size")).alias(length)),
+    )
+    return ends.where("shortest is not null").select(F.inline(pairs))
+
+
 def recent_counts(rows: DataFrame, at: str, now: Column, days: Sequence[int]) -> DataFrame:
     """Rows within each number of days before now, in one pass."""
     one = rows.agg(*[F.count_if(F.col(at) >= now - F.expr(f"make_dt_interval({d})")).alias(f"d{d}") for d in days])

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinolith.operators.assembly import dense_rank_over_ranges
+from kinolith.functions import maths
+from kinolith.operators.assembly import dense_rank_over_ranges, rank_in_groups
+from kinolith.operators.staging import settled
 
 
 def hashed(key: Column, seed: int = 42) -> Column:
@@ -48,18 +50,46 @@ def repeated_samples(rows: DataFrame, key: str, share: float, repeats: int) -> D
     return rows.withColumn("repeat", F.explode(drawn))
 
 
-def oversampled(rows: DataFrame, bin_: str, key: str, factor: float = 2.0) -> DataFrame:
-    """Rows of small bins several times, so that each bin has about factor times the median bin's size.
+def filled_up(rows: DataFrame, group: str, keys: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """rows several times, so that each group of wanted (group, target) has exactly target rows if it has fewer.
 
-    copy numbers the copies. Whole copies come from the ratio, the rest from
-    the hash of the key, so no bin is ever gathered in one task.
+    copy numbers the copies from 1. Every row comes target div n times, and the
+    first target mod n rows in order of their hash once more; ranks come from
+    ranges, so no group is gathered in one task. Other groups stay as they are.
     """
+    ranked = rank_in_groups(rows.withColumn("_h", hashed(F.col(keys[0]))), [group], ["_h", *keys], "_r", "_n")
+    ranked = ranked.join(F.broadcast(wanted), group, "left")  # a row a group, which is a bin or band
+    target = F.greatest(F.col("_n"), F.coalesce("target", F.col("_n")))
+    copies = F.floor(target / F.col("_n")) + F.when(F.col("_r") < target % F.col("_n"), 1).otherwise(0)
+    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*rows.columns, "copy")
+
+
+def oversampled(rows: DataFrame, bin_: str, keys: Sequence[str], factor: float = 2.0) -> DataFrame:
+    """Rows of small bins several times, so that each bin has at least factor times the median bin's size, rounded down."""
     counts = rows.groupBy(bin_).agg(F.count("*").alias("_n"))
-    target = counts.agg((F.percentile("_n", F.lit(0.5)) * factor).alias("_t"))
-    wanted = counts.join(F.broadcast(target)).select(bin_, F.greatest(F.lit(1.0), F.col("_t") / F.col("_n")).alias("_x"))  # one row on the right
-    copies = F.floor("_x") + F.when(hashed(F.col(key)) / 999_983 < F.col("_x") - F.floor("_x"), 1).otherwise(0)
-    whole = rows.join(wanted, bin_).withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    return whole.drop("_x")
+    target = counts.agg(F.floor(F.percentile("_n", F.lit(0.5)) * factor).cast("long").alias("target"))  # a row a bin goes in
+    return filled_up(rows, bin_, keys, counts.select(bin_).crossJoin(F.broadcast(target)))  # one row
+
+
+def oversampled_bands(rows: DataFrame, band: str, keys: Sequence[str], low: Sequence[float], high: float, factor: float = 0.15) -> DataFrame:
+    """Rows of the low bands several times, so that each has factor times the high band's size, or the largest band's if that is empty."""
+    counts = rows.groupBy(band).agg(F.count("*").alias("n"))
+    of_high = F.max(F.when(F.col(band) == high, F.col("n")))
+    target = counts.agg(F.floor(F.coalesce(of_high, F.max("n")) * factor).cast("long").alias("target"))
+    return filled_up(rows, band, keys, counts.where(F.col(band).isin(list(low))).select(band).crossJoin(F.broadcast(target)))  # one row
+
+
+def band_counts(before: DataFrame, after: DataFrame, band: str) -> DataFrame:
+    """One row per band: how many rows it has before and after."""
+    one = before.groupBy(band).agg(F.count("*").alias("before"))
+    two = after.groupBy(band).agg(F.count("*").alias("after"))
+    return one.join(two, band, "full").na.fill(0, ["before", "after"])
+
+
+def halves(rows: DataFrame, keys: Sequence[str], seed: int = 42) -> DataFrame:
+    """rows with half = 0 or 1, drawn without replacement; the first has the odd one."""
+    placed = dense_rank_over_ranges(rows.withColumn("_h", hashed(F.col(keys[0]), seed)), ["_h", *keys], "_r")
+    return placed.withColumn("half", (F.col("_r") % 2).cast("int")).drop("_h", "_r")
 
 
 def smoothed_density(rows: DataFrame, bin_: str, kernel: Sequence[float] = (0.5, 1.0, 0.5)) -> DataFrame:
@@ -90,18 +120,52 @@ def leakage_safe(train: DataFrame, test: DataFrame, similar: DataFrame, key: str
     return train.join(banned, key, "left_anti")
 
 
-def mixed(rows: DataFrame, key: str, neighbourhood: Sequence[str], vector: str, label: str) -> DataFrame:
-    """One synthetic row per row: mixed with the next of its neighbourhood in hash order.
+def beta_pick(key: Column, shape: float, tries: int = 8) -> Column:
+    """A Beta(shape, shape) variate from the hash of a key: the first accepted of a few pairs of uniforms."""
+    def uniform(salt: int) -> Column:
+        return (F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1_000_000)) + 0.5) / 1_000_000
+
+    pairs = F.array(*[F.struct(F.pow(uniform(2 * i), F.lit(1 / shape)).alias("x"), F.pow(uniform(2 * i + 1), F.lit(1 / shape)).alias("y")) for i in range(tries)])
+    fit = F.get(F.filter(pairs, lambda p: (p["x"] + p["y"] <= 1) & (p["x"] + p["y"] > 0)), F.lit(0))
+    return F.coalesce(fit["x"] / (fit["x"] + fit["y"]), F.lit(0.5))
+
+
+def partners(rows: DataFrame, key: str, neighbourhoods: Sequence[Sequence[str]], label: str, tries: int = 4) -> DataFrame:
+    """key and partner: another row of one of its neighbourhoods (rows with equal columns), near in label if there is a choice.
 
-    The share comes from the hash of both keys and favours the ends of [0, 1].
+    In the hash order of a neighbourhood the next few rows are candidates, met
+    by their rank, so a large one is neither listed nor sorted in one task. The
+    choice among them is a race with the Gaussian affinity of labels as weight.
+    Several neighbourhoods (equal in one column or in another) are united.
     """
-    order = Window.partitionBy(*neighbourhood).orderBy(hashed(F.col(key)), key)
-    paired = rows.withColumns({"_v": F.lead(vector).over(order), "_y": F.lead(label).over(order), "_k": F.lead(key).over(order)})
-    u = hashed(F.col(key) + F.col("_k") * 17) / 999_983
-    share = F.pow(F.sin(u * 1.5707963267948966), F.lit(2.0))
-    return paired.where("_k is not null").select(
+    spread = rows.agg(F.stddev_pop(label).alias("_sd"))
+    met = None
+    for columns in neighbourhoods:
+        some = rows.where(F.col(columns[0]).isNotNull()).select(key, label, *columns, hashed(F.col(key)).alias("_h"))
+        placed = settled(rank_in_groups(some, columns, ["_h", key], "_r", "_n").drop("_h"))
+        asks = placed.where("_n > 1").withColumn("_step", F.explode(F.sequence(F.lit(1), F.least(F.lit(tries), F.col("_n") - 1).cast("int"))))
+        asks = asks.select(*columns, F.col(key).alias("_key"), F.col(label).alias("_y"), ((F.col("_r") + F.col("_step")) % F.col("_n")).alias("_r"))
+        pairs = asks.join(placed.select(*columns, "_r", F.col(key).alias("partner"), F.col(label).alias("_other")), [*columns, "_r"])
+        pairs = pairs.select(F.col("_key").alias(key), "_y", "partner", "_other")
+        met = pairs if met is None else met.union(pairs)
+    met = met.distinct().crossJoin(F.broadcast(spread))  # one row
+    weight = F.when(F.col("_sd") > 0, maths.affinity(F.col("_y") - F.col("_other"), F.col("_sd"))).otherwise(1.0)
+    u = (F.pmod(F.xxhash64(key, "partner"), F.lit(1_000_000)) + 0.5) / 1_000_000
+    race = -F.log(u) / F.greatest(weight, F.lit(1e-300))
+    best = met.groupBy(key).agg(F.min(F.struct(race.alias("race"), "partner")).alias("b"))
+    return best.select(key, F.col("b.partner").alias("partner"))
+
+
+def mixed(rows: DataFrame, key: str, neighbourhoods: Sequence[Sequence[str]], vector: str, label: str, shape: float = 0.4) -> DataFrame:
+    """One synthetic row per row that has a partner: key, partner, share, and vector and label mixed by a Beta(shape, shape) share."""
+    chosen = partners(rows, key, neighbourhoods, label)
+    one = rows.select(key, F.col(vector).alias("_v"), F.col(label).alias("_y"))
+    two = rows.select(F.col(key).alias("partner"), F.col(vector).alias("_w"), F.col(label).alias("_z"))
+    both = chosen.join(one, key).join(two, "partner").withColumn("share", beta_pick(F.col(key) + F.col("partner") * 17, shape))
+    return both.select(
         key,
-        F.col("_k").alias("partner"),
-        F.zip_with(vector, "_v", lambda a, b: a * share + b * (1 - share)).alias(vector),
-        (F.col(label) * share + F.col("_y") * (1 - share)).alias(label),
+        "partner",
+        "share",
+        F.zip_with("_v", "_w", lambda a, b: a * F.col("share") + b * (1 - F.col("share"))).alias(vector),
+        (F.col("_y") * F.col("share") + F.col("_z") * (1 - F.col("share"))).alias(label),
     )

@@ -59,3 +59,25 @@ def scored(rows: DataFrame, scorer: Scorer, cache: DataFrame | None = None) -> D
     if cache is not None:
         fresh = fresh.unionByName(cache.select(*keys, F.col("prediction").cast("double").alias("prediction")))
     return rows.join(fresh, keys, "left")
+
+
+class Named:
+    """Things by name, with an error that lists the names: vectorisers (column to column) and reference tables."""
+
+    def __init__(self, what: str) -> None:
+        self.what, self._held = what, {}
+
+    def add(self, name: str, thing: object) -> None:
+        if name in self._held:
+            raise ValueError(f"there is a {self.what} {name} already")
+        self._held[name] = thing
+
+    def get(self, name: str):
+        if name not in self._held:
+            raise KeyError(f"no {self.what} {name}; there are {', '.join(sorted(self._held)) or 'none'}")
+        return self._held[name]
+
+
+VECTORISERS = Named("vectoriser")
+#: Reference tables of similarity searches: functions from a session to a table with key and sequence.
+TARGETS = Named("target table")

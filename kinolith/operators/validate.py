@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinolith.functions.arrays import split_list
 from kinolith.functions.text import in_alphabet, offending
+from kinolith.operators.assembly import rank_in_groups
 
 SINGLE = ("Protein Sequence", "Substrate")
 MULTI = ("Protein Sequence", "Substrates", "Products")
@@ -36,23 +37,22 @@ def effective_limit(method: str, limits: Mapping[str, int | None] = LIMITS, serv
 def column_emptiness(rows: DataFrame, columns: Sequence[str], row: str) -> DataFrame:
     """One row per column: rows, blanks, verdict (empty over 90 %, gaps over 10 %) and at most ten row numbers.
 
-    One pass; row numbers are kept only while there are ten or fewer.
+    The counts are one aggregation; the numbers come from the first eleven blank
+    rows of a column, which each task cuts before the shuffle.
     """
     blank = {c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "") for c in columns}
     marked = rows.select(
         F.col(row).alias("_row"),
         F.explode(F.array(*[F.struct(F.lit(c).alias("column"), b.alias("blank")) for c, b in blank.items()])).alias("_c"),
     )
-    counts = marked.groupBy("_c.column").agg(
-        F.count("*").alias("n"), F.count_if("_c.blank").alias("blanks")
-    )
+    counts = marked.groupBy("_c.column").agg(F.count("*").alias("n"), F.count_if("_c.blank").alias("blanks"))
+    place = F.row_number().over(Window.partitionBy("column").orderBy("_row"))  # limited before the shuffle, too
+    first = marked.where("_c.blank").select("_c.column", "_row").withColumn("_r", place).where("_r <= 11")
+    listed = first.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list(F.col("_row"))), ",").alias("row_list"))
     share = F.col("blanks") / F.col("n")
-    few = marked.where("_c.blank").select("_c.column", "_row").join(
-        counts.where("blanks <= 10").select("column"), "column", "left_semi"
-    )
-    listed = few.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list(F.col("_row"))), ",").alias("row_list"))
     verdict = F.when(share > 0.9, "empty").when(share > 0.1, "gaps").otherwise("ok")
-    return counts.join(listed, "column", "left").select("column", "n", "blanks", verdict.alias("verdict"), F.coalesce("row_list", F.lit("")).alias("row_list"))
+    shown = F.when(F.col("blanks") <= 10, F.coalesce("row_list", F.lit(""))).otherwise("")
+    return counts.join(listed, "column", "left").select("column", "n", "blanks", verdict.alias("verdict"), shown.alias("row_list"))
 
 
 def invalid_sequences(rows: DataFrame, sequence: str, row: str) -> DataFrame:
@@ -71,8 +71,8 @@ def invalid_parts(rows: DataFrame, column: str, row: str, known: DataFrame, part
 
 
 def by_reason(invalid: DataFrame) -> DataFrame:
-    """One row per reason with its rows in order."""
-    return invalid.groupBy("reason").agg(F.array_join(F.array_sort(F.collect_list("row")), ",").alias("row_list"), F.count("*").alias("n"))
+    """reason, n (rows with it), place (from 0, in order of row) and row: one row per invalid row, so that a reason may have any number."""
+    return rank_in_groups(invalid.select("reason", "row"), ["reason"], ["row"], "place", "n").select("reason", "n", "place", "row")
 
 
 def length_violations(rows: DataFrame, sequence: str, limits: Mapping[str, int | None] = LIMITS) -> DataFrame:

@@ -34,12 +34,11 @@ def self_join_entry(spark, sf_dir):
     return curate.same_entry(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "A", "R", "l_extendedprice")
 
 
-@query("""with names as (select n_nationkey, lower(n_name) as part from nation),
-hits as (select p_name, arg_min(word, pos) as word from (select distinct p_name from part) p join (select word, pos from (values ('cold', 0), ('small', 1), ('widget', 2), ('red', 3)) v(word, pos)) w on contains(lower(p_name), word)
-  where list_contains(string_split(lower(p_name), ' '), word) group by 1)
+@query("""with words(word, pos) as (values ('old', 0), ('all', 1), ('widget', 2), ('red', 3)),
+hits as (select p_name, arg_min(word, pos) as word from (select distinct p_name from part) p join words on contains(lower(p_name), word) group by 1)
 select p_partkey, p_name, coalesce(word, '*') as word from part left join hits using (p_name)""")
 def containment_join(spark, sf_dir):
-    words = spark.createDataFrame([("cold", 0), ("small", 1), ("widget", 2), ("red", 3)], "word string, pos int")
+    words = spark.createDataFrame([("old", 0), ("all", 1), ("widget", 2), ("red", 3)], "word string, pos int")
     found = assembly.contained_in(table(spark, sf_dir, "part"), words, "p_name", "word", "pos")
     return found.select("p_partkey", "p_name", "word")
 
@@ -64,6 +63,18 @@ def lookup_first_match(spark, sf_dir):
     return assembly.override(parts, facts, ["p_partkey"], "price").select("p_partkey", "price", "source")
 
 
+@query("""with facts as (select l_partkey, p_name, arg_min(l_extendedprice, (l_orderkey, l_linenumber)) as fact from lineitem join part on (l_partkey + 1) // 2 * 2 = p_partkey where l_returnflag = 'R' group by 1, 2)
+select p_partkey, coalesce(fact, p_retailprice) as price, case when fact is not null then 'experiment' else 'prediction' end as source from part left join facts on p_partkey = l_partkey and part.p_name = facts.p_name""")
+def lookup_guarded(spark, sf_dir):
+    """Facts of odd parts carry the name of the next part: they count only where that name is the same."""
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("named"), "p_name")
+    facts = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").withColumn("named", F.floor((F.col("l_partkey") + 1) / 2).cast("long") * 2).join(names, "named").select(
+        F.col("l_partkey").alias("p_partkey"), "p_name", F.struct("l_orderkey", "l_linenumber").alias("position"), F.col("l_extendedprice").alias("price")
+    )
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_retailprice").alias("price"))
+    return assembly.override(parts, facts, ["p_partkey"], "price", guard="p_name").select("p_partkey", "price", "source")
+
+
 @query("""select p_partkey, param, value from (
 select l_partkey as p_partkey, 'first' as param, arg_min(l_extendedprice, (l_orderkey, l_linenumber)) as value from lineitem where l_returnflag = 'R' group by 1
 union all select l_partkey, 'second', arg_min(l_quantity, (l_orderkey, l_linenumber)) from lineitem where l_returnflag = 'A' group by 1)""")
@@ -83,15 +94,12 @@ def anti_cache(spark, sf_dir):
     return assembly.misses(docs, table(spark, sf_dir, "labels"), ["doc_id"])
 
 
-@query("""with t as (select distinct l_partkey from lineitem where l_orderkey % 10 < 8), s as (select distinct l_suppkey from lineitem where l_orderkey % 10 < 8)
-select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem where l_orderkey % 10 >= 8 and (l_partkey not in (select * from t) or l_suppkey not in (select * from s))""")
+@query("""with t as (select distinct user_id, event_type from events where event_id % 10 < 8), r as (select event_id, user_id, event_type || '/' || json_extract_string(props, '$.k') as kind, event_id % 10 < 8 as train from events)
+select event_id, user_id, kind from r where not train and (user_id not in (select user_id from r where train) or kind not in (select kind from r where train))""")
 def unseen_pairs(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    train, test = lines.where("l_orderkey % 10 < 8"), lines.where("l_orderkey % 10 >= 8")
-    marks = test
-    for c in ("l_partkey", "l_suppkey"):
-        marks = marks.join(train.select(c).distinct().withColumn(f"has_{c}", F.lit(True)), c, "left")
-    return marks.where("has_l_partkey is null or has_l_suppkey is null").select(*lines.columns)
+    kind = F.concat_ws("/", "event_type", F.get_json_object("props", "$.k"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", kind.alias("kind"))
+    return assembly.unseen(rows.where("event_id % 10 >= 8"), rows.where("event_id % 10 < 8"), ["user_id", "kind"])
 
 
 @query("""select 'both' as part, count(*) as n from (select text from documents intersect select text from benchmark)
@@ -122,7 +130,7 @@ def alphabet_check(spark, sf_dir):
 
 
 @query("""with v as (select item_id, case when text is null or trim(text) = '' then 'empty' when not regexp_full_match(text, '[ACDEFGHIKLMNPQRSTVWY]*') then 'invalid characters' end as reason from benchmark)
-select reason, string_agg(cast(item_id as varchar), ',' order by item_id) as row_list, count(*) as n from v where reason is not null group by 1""")
+select reason, count(*) over (partition by reason) as n, row_number() over (partition by reason order by item_id) - 1 as place, item_id as "row" from v where reason is not null""")
 def invalid_by_reason(spark, sf_dir):
     return validate.by_reason(validate.invalid_sequences(table(spark, sf_dir, "benchmark"), "text", "item_id"))
 
@@ -147,10 +155,13 @@ def token_explode_regroup(spark, sf_dir):
     return assembly.regrouped(parts.withColumn("tokens", F.upper("tokens")), "p_partkey", "place", "tokens")
 
 
-@query("""select doc_id, array_to_string(regexp_extract_all(text, '[A-Z][0-9]+[A-Z]'), '/') as codes from documents where regexp_matches(text, '[A-Z][0-9]+[A-Z]')""")
+@query("""with t as (select l_orderkey, l_linenumber, case when l_linenumber % 3 = 0 then 'variant ' when l_linenumber % 3 = 1 then 'mutant ' else 'Mutated form ' end || l_returnflag || l_partkey || l_linestatus || case when l_linenumber % 2 = 0 then ' and ' || l_linestatus || l_suppkey || l_returnflag else '' end as comment from lineitem)
+select l_orderkey, l_linenumber, array_to_string(regexp_extract_all(comment, '[A-Z][0-9]+[A-Z]'), '/') as codes from t where (contains(lower(comment), 'mutant') or contains(lower(comment), 'mutated')) and regexp_matches(comment, '[A-Z][0-9]+[A-Z]')""")
 def mutation_regex(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.where(F.col("text").rlike("[A-Z][0-9]+[A-Z]")).select("doc_id", text.joined_codes(F.col("text")).alias("codes"))
+    lead = F.when(F.col("l_linenumber") % 3 == 0, "variant ").when(F.col("l_linenumber") % 3 == 1, "mutant ").otherwise("Mutated form ")
+    more = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" and "), "l_linestatus", "l_suppkey", "l_returnflag")).otherwise("")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(lead, "l_returnflag", "l_partkey", "l_linestatus", more).alias("comment"))
+    return curate.with_codes(lines, "comment").select("l_orderkey", "l_linenumber", "codes")
 
 
 @query("""with s as (select item_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as seq from benchmark)
@@ -171,13 +182,31 @@ def registry_ids(spark, sf_dir):
     return registry.register(table(spark, sf_dir, "documents"), "text", "doc_id").drop("seq")
 
 
-@query("""with u as (select text as seq, count(*) as uses_count, sha256(text) as sha256 from documents where trim(text) <> '' group by 1)
-select (select count(*) from u) as n, cast((select sum(uses_count) from u) as bigint) as uses, (select count(*) from u where uses_count = 0) as unused, 0.0::double as unused_share,
-(select count(*) from (select left(sha256, 12) from u group by 1 having count(*) > 1)) as prefixes, 0::bigint as mismatches""")
+@query("""with u as (select text as seq, count(*) - 1 as uses_count, sha256(text) as sha256, min(doc_id) as first_position from documents where trim(text) <> '' group by 1),
+r as (select *, left(sha256, 12) || case when row_number() over (partition by left(sha256, 12) order by first_position, sha256) > 1 then '_' || (row_number() over (partition by left(sha256, 12) order by first_position, sha256) - 1) else '' end as id from u),
+b as (select *, case when first_position % 7 = 0 then 'x' || substr(id, 2) else id end as changed from r)
+select count(*) as n, cast(sum(uses_count) as bigint) as uses, count(*) filter (uses_count = 0) as unused, round(count(*) filter (uses_count = 0) / count(*), 9) as unused_share,
+(select count(*) from (select left(sha256, 1) from u group by 1 having count(*) > 1)) as prefixes, (select cast(coalesce(sum(k - 1), 0) as bigint) from (select count(*) as k from u group by left(sha256, 1) having count(*) > 1)) as extra_ids,
+count(*) filter (split_part(changed, '_', 1) <> left(sha256, 12)) as mismatches from b""")
 def registry_stats(spark, sf_dir):
-    reg = registry.register(table(spark, sf_dir, "documents"), "text", "doc_id")
+    """Uses after the first one, prefixes of one digit, and ids of which every seventh document's first was spoilt."""
+    reg = registry.register(table(spark, sf_dir, "documents"), "text", "doc_id").withColumn("uses_count", F.col("uses_count") - 1)
+    spoilt = reg.withColumn("id", F.when(F.col("first_position") % 7 == 0, F.concat(F.lit("x"), F.substring("id", 2, 100))).otherwise(F.col("id")))
     # three one-row results side by side
-    return registry.totals(reg).join(registry.prefix_collisions(reg).select("prefixes")).join(registry.mismatches(reg))
+    found = registry.totals(reg).join(registry.prefix_collisions(reg, 1)).join(registry.mismatches(spoilt))
+    return found.withColumn("unused_share", F.round("unused_share", 9))
+
+
+@query("""select 'shortest' as which, (select arg_min(doc_id, (n_chars, doc_id)) from documents) as doc_id, (select min(n_chars) from documents) as n_chars
+union all select 'longest', (select arg_min(doc_id, (-n_chars, doc_id)) from documents), (select max(n_chars) from documents)""")
+def registry_extremes(spark, sf_dir):
+    return registry.extremes(table(spark, sf_dir, "documents"), "n_chars", "doc_id")
+
+
+@query("""select lang, median(n_chars) as median, count(*) as n from documents group by 1""")
+def median_length(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", F.col("n_chars").cast("double").alias("n_chars"))
+    return assembly.quantiles(docs, ["lang"], "n_chars", {"median": 0.5}).join(docs.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n")), F.col("lang").eqNullSafe(F.col("l"))).select("lang", "median", "n")
 
 
 @query("""with o as (select n_chars as v, row_number() over (order by n_chars) as r, count(*) over () as n from documents)
@@ -235,9 +264,29 @@ def extra_info_text(spark, sf_dir):
     )
 
 
-@query("""select page_id, regexp_replace(url, 'https?://[^\\s"<>]+', '<URL>', 'g') as line from pages""".replace("\\\\", "\\"))
+@query(r"""with t as (select page_id, case page_id % 6 when 0 then 'run /opt/conda/bin/conda in /home/u' || page_id || '/x' when 1 then 'made /tmp/tmp' || page_id || '_a/queryDB_h and result.m8 pref_' || page_id when 2 then 'read /srv/db/targets_a and targets_a, targets_ab'
+when 3 then 'see ' || url when 4 then '/data/media/sequence_info/' || page_id || ' in /data' else 'kept queryDB /tmp/x' || page_id || '.fasta' end as line from pages),
+a as (select page_id, regexp_replace(replace(line, '/srv/db/targets_a', 'TARGET_DB(A)'), '\btargets_a\b', 'TARGET_DB(A)', 'g') as line from t),
+b as (select page_id, replace(replace(line, '/data/media', '[MEDIA]'), '/data', '[DATA]') as line from a),
+c as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '/tmp/tmp[a-zA-Z0-9_]+/queryDB(?:_h)?', '[TMP_QUERY_DB]', 'g'), '/tmp/tmp[a-zA-Z0-9_]+/resultDB(?:_h)?', '[TMP_RESULT_DB]', 'g'), '/tmp/tmp[a-zA-Z0-9_]+/result\.m8', '[TMP_RESULT_M8]', 'g'), '/tmp/tmp[a-zA-Z0-9_]+', '[TMP_DIR]', 'g'), '/tmp/[^\s]+', '[TMP]', 'g') as line from b),
+d as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\bqueryDB_h\b', '[QUERY_DB_H]', 'g'), '\bresultDB_h\b', '[RESULT_DB_H]', 'g'), '\bqueryDB\b', '[QUERY_DB]', 'g'), '\bresultDB\b', '[RESULT_DB]', 'g'), '\bresult\.m8\b', '[RESULT_M8]', 'g'), '\bpref_\d+\b', '[PREF_DB]', 'g') as line from c),
+e as (select page_id, regexp_replace(regexp_replace(line, '(?:/home/[^/\s]+/anaconda3/bin/conda|/opt/conda/bin/conda)', '[CONDA]', 'g'), '/home/[^/\s]+', '[HOME]', 'g') as line from d)
+select page_id, regexp_replace(line, '(^|[^\w.-])/[^\s]+', '\1[PATH]', 'g') as line from e""")
 def log_redaction(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.redacted_line(F.col("url")).alias("line"))
+    i, url = F.col("page_id").cast("string"), F.col("url")
+    line = F.element_at(
+        F.array(
+            F.concat(F.lit("run /opt/conda/bin/conda in /home/u"), i, F.lit("/x")),
+            F.concat(F.lit("made /tmp/tmp"), i, F.lit("_a/queryDB_h and result.m8 pref_"), i),
+            F.lit("read /srv/db/targets_a and targets_a, targets_ab"),
+            F.concat(F.lit("see "), url),
+            F.concat(F.lit("/data/media/sequence_info/"), i, F.lit(" in /data")),
+            F.concat(F.lit("kept queryDB /tmp/x"), i, F.lit(".fasta")),
+        ),
+        (F.col("page_id") % 6).cast("int") + 1,
+    )
+    redacted = text.redacted_line(line, {"A": "/srv/db/targets_a"}, {"/data/media": "[MEDIA]", "/data": "[DATA]"})
+    return table(spark, sf_dir, "pages").select("page_id", redacted.alias("line"))
 
 
 @query("""select c_custkey, first.o_orderkey as first_order, last.o_orderkey as last_order from customer

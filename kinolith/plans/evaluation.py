@@ -11,19 +11,14 @@ from kinolith.operators import assembly, features, metrics, sampling, score, sim
 from kinolith.plans.base import query, table
 from kinolith.streaming import quota
 
-_QUERIES_SQL = """q as (select vec_id as query, embedding as e from embeddings where vec_id < 50), t as (select vec_id as target, embedding as e from embeddings where vec_id >= 50),
-hits as (select query, target, round(greatest(0.0, 100 * list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i]::double * t.e[i]::double)) / sqrt(list_sum(list_transform(q.e, lambda x: x::double * x::double)) * list_sum(list_transform(t.e, lambda x: x::double * x::double)))), 6) as score from q, t),
+_QUERIES_SQL = """v as (select vec_id, list_transform(embedding, lambda x: x::double) as e, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as norm from embeddings),
+hits as (select q.vec_id as query, round(greatest(0.0, 100 * list_inner_product(q.e, t.e) / (q.norm * t.norm)), 6) as score from v q join v t on q.vec_id % 50 = 0 and q.vec_id <> t.vec_id),
 best as (select query, max(score) as best, round(avg(score), 6) as mean from hits group by 1)"""
 
 
 def _similarity_stats(spark, sf_dir):
-    """Fifty stated queries against all other vectors: the query side is fixed at 50 rows and broadcast."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    queries = vectors.where("vec_id < 50").select(F.col("vec_id").alias("query"), F.col("e").alias("qe"))
-    targets = vectors.where("vec_id >= 50").select(F.col("vec_id").alias("target"), F.col("e").alias("te"))
-    score_ = F.round(F.greatest(F.lit(0.0), 100 * arrays.dot(F.col("qe"), F.col("te")) / F.sqrt(arrays.dot(F.col("qe"), F.col("qe")) * arrays.dot(F.col("te"), F.col("te")))), 6)
-    hits = targets.join(F.broadcast(queries)).select("query", "target", score_.alias("score"))
-    return similarity.hit_statistics(queries.select("query"), hits).withColumn("mean", F.round("mean", 6))
+    """Every fiftieth vector against all others, in blocks."""
+    return similarity.block_statistics(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 50).withColumn("mean", F.round("mean", 6))
 
 
 @query(f"""with {_QUERIES_SQL}, bins as (select cast(least(100, greatest(0, round_even(best, 0))) as int) as bin, count(*) as n from best group by 1)
@@ -103,7 +98,9 @@ def star_rollup(spark, sf_dir):
     places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     suppliers = table(spark, sf_dir, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "r_name")
     joined = lines.join(parts, "l_partkey").join(suppliers, "l_suppkey")
-    return joined.groupBy("r_name", "p_brand").agg(F.round(F.median("l_extendedprice"), 4).alias("median_price"), F.count("*").alias("n"))
+    medians = assembly.quantiles(joined, ["r_name", "p_brand"], "l_extendedprice", {"median_price": 0.5})
+    counts = joined.groupBy("r_name", "p_brand").agg(F.count("*").alias("n"))
+    return medians.join(counts, ["r_name", "p_brand"]).select("r_name", "p_brand", F.round("median_price", 4).alias("median_price"), "n")
 
 
 @query("""with b as (select floor(log10(l_extendedprice) / 0.25)::int as bin from lineitem), c as (select bin, count(*) as n from b group by 1)
@@ -114,10 +111,25 @@ def value_bins(spark, sf_dir):
     return bins.select("bin", "n", F.round(target, 4).alias("target"))
 
 
-@query()
+_BINS_SQL = """r as (select l_orderkey, l_linenumber, floor(log10(l_extendedprice) / 0.25)::int as bin from lineitem),
+c as (select bin, count(*) as n from r group by 1), t as (select floor(quantile_cont(n, 0.5) * 2)::bigint as target from c),
+k as (select r.*, n, greatest(n, target) as target, row_number() over (partition by bin order by (l_orderkey * 7919 + 42 * 104729) % 999983, l_orderkey, l_linenumber) - 1 as rank from r join c using (bin), t),
+o as (select l_orderkey, l_linenumber, bin, unnest(range(1, target // n + 1 + case when rank < target % n then 1 else 0 end))::int as copy from k)"""
+
+
+def _binned(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.floor(F.log10("l_extendedprice") / 0.25).cast("int").alias("bin"))
+
+
+@query(f"with {_BINS_SQL} select * from o")
 def value_bins_oversample(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").withColumn("bin", F.floor(F.log10("l_extendedprice") / 0.25).cast("int"))
-    return sampling.oversampled(rows.select("l_orderkey", "l_linenumber", "bin"), "bin", "l_orderkey")
+    return sampling.oversampled(_binned(spark, sf_dir), "bin", ["l_orderkey", "l_linenumber"])
+
+
+@query(f"with {_BINS_SQL} select bin, any_value(n) as before, (select count(*) from o where o.bin = c.bin) as after from c group by 1")
+def band_counts(spark, sf_dir):
+    rows = _binned(spark, sf_dir)
+    return sampling.band_counts(rows, sampling.oversampled(rows, "bin", ["l_orderkey", "l_linenumber"]), "bin")
 
 
 @query("""with b as (select floor(log10(o_totalprice) * 4)::int as bin, count(*) as n from orders group by 1), s as (select min(bin) as a, max(bin) as z from b),
