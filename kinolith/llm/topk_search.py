@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinolith.llm.shared import settle
@@ -26,6 +26,8 @@ from kinolith.llm.shared import settle
 BLOCK_ROWS = 4096
 NORM_GROUPS = 256
 QUERY_ROWS = 1024
+#: Queries that come to a block together; more are cut into slices, each with the block's vectors.
+SLICE_ROWS = 4096
 #: From this cosine on, length alone prunes well; below, the query's main coordinate is tested.
 LENGTH_ONLY = 0.97
 
@@ -50,11 +52,16 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 
 def _products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Whole inner products; through doubles while those are exact."""
-    size = np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * max(1, left.shape[1])
+    """Whole inner products; through doubles while those are exact, through Python's integers beyond longs."""
+    size = int(np.abs(left).max(initial=0)) * int(np.abs(right).max(initial=0)) * max(1, left.shape[1])
     if size < 2**53:
         return np.rint(left.astype(float) @ right.astype(float).T).astype(np.int64)
-    return left @ right.T
+    if size < 2**63:
+        return left @ right.T
+    whole = left.astype(object) @ right.astype(object).T
+    if any(abs(x) >= 2**63 for x in whole.ravel()):
+        raise OverflowError("an inner product does not fit into a long")
+    return whole.astype(np.int64)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, query: int, k: int) -> list[tuple[int, int]]:
@@ -129,6 +136,14 @@ def _searched(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _slices(rows: str) -> Column:
+    return F.ceil(F.col(rows) / SLICE_ROWS).cast("int").alias("slices")
+
+
+def _slice_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key), F.lit("slice")), F.col("slices")).cast("int")
+
+
 def top_k(
     vectors: DataFrame,
     k: int = 5,
@@ -144,10 +159,9 @@ def top_k(
     the smaller key; fewer candidates than k give all of them. Vectors that are
     null or hold null or non-finite components take no part, nor do null keys;
     vectors of different dimension are not compared; an empty table gives no
-    rows; repeated keys are repeated candidates and one query. Other columns
-    are ignored.
+    rows; of repeated keys the smallest vector is the query, each row is a
+    candidate of the others. Other columns are ignored.
     """
-    spark = vectors.sparkSession
     whole = settle(integer_vectors(vectors, key, column, scale), "vectors")
     total = whole.count()
     groups = min(NORM_GROUPS, max(1, total // BLOCK_ROWS))
@@ -163,25 +177,37 @@ def top_k(
     held = settle(held, "norm-groups")
     blocks = grouped.join(F.broadcast(held.select("dim", "grp", "parts")), ["dim", "grp"])  # NORM_GROUPS rows a dimension
     blocks = blocks.withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int"))
-    blocks = blocks.select("id", "v", "dim", "norm2", F.struct("dim", "grp", "part").alias("block"))
-    queries = whole.where(F.col("id") % query_every == 0).dropDuplicates(["id"])
-    queries = queries.select("id", "v", "dim", F.sqrt("norm2").alias("norm"))
-    # a first bound from one block of the longest vectors of each dimension
+    blocks = blocks.select("id", "v", "dim", "grp", F.struct("part").alias("block"))
+    one = whole.where(F.col("id") % query_every == 0).groupBy("id").agg(F.min(F.struct("v", "dim", "norm2")).alias("q"))
+    queries = settle(one.select("id", "q.v", "q.dim", F.sqrt("q.norm2").alias("norm")), "queries")
+    # a first bound from one block of the longest vectors of each dimension, whose queries come in slices
     first = held.groupBy("dim").agg(F.max("grp").alias("grp"))
-    seed_at = queries.join(F.broadcast(first), "dim").withColumn("block", F.struct("dim", "grp", F.lit(0).alias("part")))
-    seeds = seed_at.select("block", "id", "v", "norm", F.lit(None).cast("long").alias("bound"))
-    top = F.broadcast(first.select(F.struct("dim", "grp", F.lit(0).alias("part")).alias("block")))
-    seeded = settle(_searched(seeds, blocks.join(top, "block").select("block", "id", "v"), k), "seeds")
+    first = first.join(queries.groupBy("dim").agg(F.count("*").alias("n")), "dim").select("dim", "grp", _slices("n"))
+    place = lambda at: F.struct("dim", "grp", F.lit(0).alias("part"), at.alias("slice")).alias("block")
+    first = F.broadcast(settle(first, "first-blocks"))  # a row a dimension
+    seeds = queries.join(first, "dim").select(place(_slice_of("id")), "id", "v", "norm", F.lit(None).cast("long").alias("bound"))
+    longest = blocks.where("block.part = 0").join(first, ["dim", "grp"])
+    longest = longest.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    seeded = settle(_searched(seeds, longest.select(place(F.col("at")), "id", "v"), k), "seeds")
     bounds = seeded.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
     bounds = bounds.select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("low")).alias("bound"))
-    # blocks that can still matter to a query; the bound is tested before rows are sent
+    # norm groups that can still matter to a query; the bound is tested before rows are sent
     asked = queries.join(bounds, "id", "left").join(F.broadcast(held), "dim")
-    asked = asked.where(
-        F.col("bound").isNull() | (F.col("norm") * F.sqrt("longest2") * (1 + 1e-9) + 1e-6 >= F.col("bound"))
+    asked = settle(
+        asked.where(
+            F.col("bound").isNull() | (F.col("norm") * F.sqrt("longest2") * (1 + 1e-9) + 1e-6 >= F.col("bound"))
+        ).select("dim", "grp", "parts", "id", "v", "norm", "bound"),
+        "asked",
     )
+    counted = settle(asked.groupBy("dim", "grp").agg(F.count("*").alias("n")).select("dim", "grp", _slices("n")), "slices")
+    place = lambda part, at: F.struct("dim", "grp", part.alias("part"), at.alias("slice")).alias("block")
+    asked = asked.join(F.broadcast(counted), ["dim", "grp"]).withColumn("at", _slice_of("id"))  # a row a norm group
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    asked = asked.select(F.struct("dim", "grp", "part").alias("block"), "id", "v", "norm", "bound")
-    hits = _searched(asked, blocks.select("block", "id", "v"), k)
+    asked = asked.select(place(F.col("part"), F.col("at")), "id", "v", "norm", "bound")
+    blocks = blocks.join(F.broadcast(counted), ["dim", "grp"])
+    blocks = blocks.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    blocks = blocks.select(place(F.col("block.part"), F.col("at")), "id", "v")
+    hits = _searched(asked, blocks, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select(
         "query_id", "rank", F.col("id").alias(key), "score"
