@@ -103,5 +103,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _urls_sql() -> str:
+    """op7 in SQL: terms are runs of letters and digits, so those between boundaries are the URL's words."""
+    fits = lambda host, path: f"(host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}')"
+    ordered = sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
+    case = lambda pick: " ".join(f"when {fits(h, p)} then '{pick(v, h, p)}'" for v, h, p in ordered)
+    terms = ", ".join(f"('{t}', {w})" for t, w in url_filter.VOCABULARY.items())
+    block = url_filter.BLOCK_AT
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""with terms(term, weight) as (values {terms}),
+u as (select page_id, list_distinct(regexp_split_to_array(translate(coalesce(url, ''), '{upper}', '{lower}'), '[^\\p{{L}}\\p{{N}}]+')) as words, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+w as (select page_id, unnest(words) as term from u), h as (select page_id, count(*) filter (weight >= {block}) as strict, count(*) filter (weight < {block}) as soft, sum(weight) as weight from w join terms using (term) group by 1),
+p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+j as (select p.*, coalesce(strict, 0)::int as strict_hits, coalesce(soft, 0)::int as soft_hits, coalesce(weight, 0)::int as weight from p left join h using (page_id))
+select page_id, host, path, case {case(lambda v, h, p: h + p)} end as rule, case {case(lambda v, h, p: v)} when weight >= {block} then 'block' else 'allow' end as verdict, strict_hits, soft_hits, weight from j"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can say it over the whole table."""
+    return {"op7_url_filter": _urls_sql()}
