@@ -235,15 +235,22 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     first in alphabetical order; score is its share when every language's
     probability of the text is weighed. A null text or one without a letter is
     `und` with score 0, as is everything if nothing was learned. Only the text
-    is looked at; rows are neither joined nor grouped.
+    is looked at, whole and in segments, so that very long texts take no more
+    memory than others; rows are neither joined nor grouped, repeated rows get
+    equal answers, and an empty table gives an empty result.
     """
     light = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
     found = with_language(light, model)
     return found.select(F.col("key").alias(key), held_out("key").alias("held_out"), "lang_pred", "score")
 
 
-def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs with lang_pred and score, as identify() gives them; all columns stay."""
+def with_language(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "excess")) -> DataFrame:
+    """The rows of docs with lang_pred and score, as identify() gives them, and excess, under the names given.
+
+    excess is by how many bits the best language's code of the letters is
+    longer than their plain bytes: over 0, the model explains nothing of them.
+    It is 0 if nothing was learned or there is no letter. All other columns stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE_WORDS
     name_of_model = uuid.uuid4().hex
 
@@ -255,17 +262,19 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
             _SCORERS[name_of_model] = Scorer(shared.value)
         scorer = _SCORERS[name_of_model]
         languages = scorer.model.languages
-        names, scores = [], []
+        found, scores, excess = [], [], []
         for (text,) in utf8_rows(batch, "text"):
             bits = scorer.score(text or b"")
             if not languages or bits[-1] == 0:
-                names.append(UNKNOWN)
+                found.append(UNKNOWN)
                 scores.append(0.0)
+                excess.append(0.0)
                 continue
             lengths = bits[:-1]
             best = int(lengths.argmin())
-            names.append(languages[best])
+            found.append(languages[best])
             scores.append(float(1 / np.exp2(np.maximum(lengths[best] - lengths, -1000)).sum()))
-        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            excess.append(float(lengths[best] - 8 * bits[-1]))
+        return [pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(excess, pa.float64())]
 
-    return add_columns(docs, [("lang_pred", "string"), ("score", "double")], predict)
+    return add_columns(docs, list(zip(names, ("string", "double", "double"), strict=True)), predict)

@@ -16,7 +16,7 @@ from collections import namedtuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinolith.llm.shared import utf8_rows
+from kinolith.llm.shared import by_bytes, utf8_rows
 
 # Element ids of the format (fixed values).
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -38,6 +38,9 @@ NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 Packet = namedtuple("Packet", "track timestamp start length keyframe lacing")
 Element = namedtuple("Element", "id start body end")
 
+#: What is written and given on at a time: bytes of texts, and packets.
+BATCH_BYTES, BATCH_PACKETS = 4_000_000, 50_000
+
 
 def write_id(element: int) -> bytes:
     return element.to_bytes((element.bit_length() + 7) // 8, "big")
@@ -288,15 +291,14 @@ def store(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index("key")).to_pylist()
-            # few files at a time, so that a batch of long texts is not held twice
-            texts = [t or b"" for (t,) in utf8_rows(batch, "text")]
-            for i in range(0, len(texts), 256):
-                part = texts[i : i + 256]
+            # a few megabytes of files at a time, so that a batch of long texts is not held twice
+            rows = zip(keys, (t or b"" for (t,) in utf8_rows(batch, "text")), strict=True)
+            for part in by_bytes(rows, BATCH_BYTES, lambda r: len(r[1]) + 256):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(keys[i : i + 256], batch.schema.field("key").type),
-                        pa.array([len(t) for t in part], pa.int64()),
-                        pa.array([write_file(padded(t)) for t in part], pa.binary()),
+                        pa.array([k for k, _ in part], batch.schema.field("key").type),
+                        pa.array([len(t) for _, t in part], pa.int64()),
+                        pa.array([write_file(padded(t)) for _, t in part], pa.binary()),
                     ],
                     names=["key", "n_bytes", "media"],
                 )
@@ -320,6 +322,13 @@ def packet_table(media: DataFrame, key: str = "doc_id", column: str = "media") -
 
         fields = ("packet", "track", "timestamp_ms", "start", "length", "keyframe", "lacing", "error")
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.string())
+        def table(keys, rows, at):
+            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+            return pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                names=["key", *fields],
+            )
+
         for batch in batches:
             keys = batch.column(0)
             rows, at = [], []
@@ -336,11 +345,10 @@ def packet_table(media: DataFrame, key: str = "doc_id", column: str = "media") -
                     own = [(None,) * 7 + (str(e),)]
                 rows += own
                 at += [i] * len(own)
-            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-            yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                names=["key", *fields],
-            )
+                if len(rows) >= BATCH_PACKETS:
+                    yield table(keys, rows, at)
+                    rows, at = [], []
+            yield table(keys, rows, at)
 
     kind = media.schema[key].dataType.simpleString()
     found = media.select(F.col(key).alias("key"), F.col(column)).mapInArrow(

@@ -9,6 +9,7 @@ bounded set of labelled lines made from templates (TRAINING_LINES).
 
 from __future__ import annotations
 
+import bisect
 import functools
 import random
 import re
@@ -212,17 +213,42 @@ def trained() -> BoostedTrees:
     return BoostedTrees().fit(x[half], y[half]).calibrate(x[~half], y[~half])
 
 
+def _covered(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, start, end in sorted(spans, key=lambda s: s[1:]):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def _free(starts: list[int], ends: list[int], start: int, end: int) -> bool:
+    """Whether a span meets none of the disjoint spans."""
+    at = bisect.bisect_left(starts, end) - 1
+    return at < 0 or ends[at] <= start
+
+
 def model_spans(text: str, model: BoostedTrees, base: list[tuple[str, int, int]], threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
     """Candidates outside base spans whose calibrated probability reaches the threshold, best first where they overlap."""
-    free = [c for c in candidates(text) if not any(s < c[2] and c[1] < e for _, s, e in base)]
+    taken = _covered(base)
+    free = [c for c in candidates(text) if _free(*taken, *c[1:])]
     if not free:
         return []
     p = model.probability(np.array([describe(text, *c) for c in free]))
     chosen: list[tuple[str, int, int]] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for i in sorted(range(len(free)), key=lambda i: (-p[i], free[i][1], free[i][0])):
         if p[i] < threshold:
             break
-        if not any(s < free[i][2] and free[i][1] < e for _, s, e in chosen):
+        if _free(starts, ends, *free[i][1:]):
+            at = bisect.bisect_left(starts, free[i][1])
+            starts.insert(at, free[i][1])
+            ends.insert(at, free[i][2])
             chosen.append(free[i])
     return sorted(chosen, key=lambda s: (KINDS.index(s[0]), s[1]))
 
