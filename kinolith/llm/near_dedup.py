@@ -9,13 +9,14 @@ no bucket is ever expanded into its pairs. Signature agreement prunes
 neighbours, and every link is confirmed on the full shingle sets.
 
 Documents with equal shingle sets are one class from the start. A first walk
-links each row with its most similar earlier neighbour; the second walk knows
-the components found and looks only for links between different ones.
-
-Rows of a region with more rows than the look-back, or one that a range's end
-has cut, are crowded: there the window does not meet all pairs. They go through
-a prefix-filter join on their rarest shingles, which meets every pair of them
-at the threshold, again only between different components.
+links each row with its most similar earlier neighbour. The depth of a region
+then follows its size: where the rows of a shallow prefix fit into the
+look-back, the second walk meets all their pairs in different components. In
+denser regions, and those that a range's end has cut, a row that is thinly
+surrounded in almost all other trees meets the neighbours of a deeper prefix.
+Rows that are in dense regions of several trees are crowded and go down to
+single shingles: a prefix-filter join on the rarest of them meets every pair at
+the threshold, again only between different components.
 """
 
 from __future__ import annotations
@@ -26,19 +27,29 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinolith.llm.shared import by_bytes, settle, utf8_rows
+from kinolith.llm.shared import join_by_key, settle, utf8_rows
 
 WORDS = 5
 PERCENT = 75
-TREES = 16
+TREES = 18
 DEPTH = 4
 SHALLOWEST = 2
+DEEPER = 3
 WINDOW = 64
-#: Values of a signature; the trees take the first ones, all leave two bits each as marks.
-HASHES = 512
-MARK_BYTES = HASHES // 4
-#: Of HASHES marks. Marks of a pair at the threshold agree in 416 on average, with a deviation of 8.8.
-LEAST_AGREEING = 383
+#: A row may be in so many dense regions, of TREES, before it is looked at by single shingles: 16 trees remain for each pair.
+DENSE_TREES = 2
+#: Values of a signature; the trees take the first ones, all leave one bit each as marks.
+HASHES = 1024
+MARK_BYTES = HASHES // 8
+#: Of HASHES marks. Marks of a pair at the threshold agree in 896 on average, with a deviation of 10.6: at 838, or
+#: 5.5 deviations, one pair in 5e7 is lost.
+LEAST_AGREEING = 838
+#: Rows that meet over single shingles are compared by more marks: their like come in great numbers just below the threshold.
+WIDE_HASHES, WIDE_AGREEING = 4096, 3468
+#: First shingles of a prefix that go along, so that a pair is looked at over its first common shingle only.
+HEAD = 32
+#: For the first walk, which only wants links that are likely; the second walk and the join take the rest.
+LIKELY_AGREEING = 875
 #: Links of a document, over all trees, that the first walk confirms; the second walk takes all it has left apart.
 FIRST_LINKS = 4
 ROWS_A_RANGE = 60_000
@@ -55,10 +66,8 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _PLACE = _TABLE.integers(0, 2**64, WORDS, np.uint64) | np.uint64(1)
-_A = _TABLE.integers(0, 2**32, HASHES, np.uint32) | np.uint32(1)
-_B = _TABLE.integers(0, 2**32, HASHES, np.uint32)
-#: For the exclusive or of two mark bytes: how many of its four marks agree.
-_SAME = np.array([sum((x >> s) & 3 == 0 for s in (0, 2, 4, 6)) for x in range(256)], np.uint8)
+_A = _TABLE.integers(0, 2**32, WIDE_HASHES, np.uint32) | np.uint32(1)
+_B = _TABLE.integers(0, 2**32, WIDE_HASHES, np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -104,21 +113,35 @@ def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     return np.unique(_mix(total + np.uint64(width)))
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """HASHES MinHash values of a set of hashes."""
+def signature(found: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """MinHash values of a set of hashes."""
     low = (found >> np.uint64(32)).astype(np.uint32)
-    least = np.full(len(_A), 2**32 - 1, np.uint32)
-    for i in range(0, len(low), 128):
-        part = low[i : i + 128, None] * _A
-        part += _B
+    one, two = _A[:hashes], _B[:hashes]
+    least = np.full(hashes, 2**32 - 1, np.uint32)
+    for i in range(0, len(low), 64):
+        part = low[i : i + 64, None] * one
+        part += two
         np.minimum(least, part.min(axis=0), out=least)
     return least
 
 
 def packed_marks(values: np.ndarray) -> bytes:
-    """Two bits of each value of a signature."""
-    two = (values & np.uint32(3)).astype(np.uint8).reshape(MARK_BYTES, 4)
-    return (two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes()
+    """One bit of each value of a signature, after mixing: the values' own low bits are linear in the shingle's."""
+    mixed = (values ^ (values >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return np.packbits((mixed >> np.uint32(31)).astype(bool)).tobytes()
+
+
+def agreeing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """In how many marks rows of packed marks agree."""
+    differ = np.ascontiguousarray(one ^ two).view(np.uint64)
+    return 8 * one.shape[-1] - np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+
+
+def names_of(found: np.ndarray) -> tuple[int, int]:
+    """The 128-bit name of a shingle set."""
+    mixed = _mix(found + np.uint64(0x51ED270B7F4A7C15))
+    return int(found.sum(dtype=np.uint64)) - 2**63, int(mixed.sum(dtype=np.uint64)) - 2**63
 
 
 def set_table(docs: DataFrame, key: str) -> DataFrame:
@@ -132,9 +155,9 @@ def set_table(docs: DataFrame, key: str) -> DataFrame:
             for (text,) in utf8_rows(batch, "text"):
                 found = shingles(text)
                 n.append(len(found))
-                mixed = _mix(found + np.uint64(0x51ED270B7F4A7C15))
-                a.append(int(found.sum(dtype=np.uint64)) - 2**63)
-                b.append(int(mixed.sum(dtype=np.uint64)) - 2**63)
+                name_a, name_b = names_of(found)
+                a.append(name_a)
+                b.append(name_b)
                 if len(found):
                     values = signature(found)
                     sig.append(values[: TREES * DEPTH].astype(">u4").tobytes())
@@ -168,25 +191,37 @@ def _whole(batches):
     return pa.Table.from_batches(held).combine_chunks().to_batches()[0] if held and sum(len(b) for b in held) else None
 
 
-def _region(batch) -> np.ndarray:
-    """One value a row: tree and the shallowest prefix."""
+def _region(batch, depth: int = SHALLOWEST) -> np.ndarray:
+    """One value a row: tree and prefix."""
     place = _fixed(batch, "place", 1 + 4 * DEPTH)
-    prefix = np.ascontiguousarray(place[:, 1 : 1 + 4 * SHALLOWEST]).view(np.uint64)[:, 0]
-    return _mix(prefix + place[:, 0].astype(np.uint64))
+    name = place[:, 0].astype(np.uint64)
+    for i in range(depth):
+        value = np.ascontiguousarray(place[:, 1 + 4 * i : 5 + 4 * i]).view(np.uint32)[:, 0]
+        name = _mix(name * np.uint64(2**32) + value)
+    return name
 
 
-def _agreeing(marks: np.ndarray, n: np.ndarray, later: np.ndarray, back: int) -> tuple[np.ndarray, np.ndarray]:
-    """Those of later whose row `back` before may be a link, and how many values agree."""
+def _runs(region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values begin, and how long they are."""
+    starts = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
+    return starts, np.diff(np.append(starts, len(region)))
+
+
+def _agreeing(marks: np.ndarray, n: np.ndarray, later: np.ndarray, back: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of later whose row `back` before may be a link, and how many marks agree."""
     earlier = later - back
     low, high = np.minimum(n[later], n[earlier]), np.maximum(n[later], n[earlier])
     later = later[100 * low >= PERCENT * high]
-    same = _SAME[marks[later] ^ marks[later - back]].sum(axis=1, dtype=np.int64)
-    fit = same >= LEAST_AGREEING
+    same = agreeing(marks[later], marks[later - back])
+    fit = same >= least
     return later[fit], same[fit]
 
 
 def first_walk(rows: DataFrame) -> DataFrame:
-    """Rows that share a region with a neighbour, each with its most similar earlier one."""
+    """Rows that share a region with a neighbour, each with its most similar earlier one, and whether the region is dense.
+
+    A region counts as dense, too, if a range's end may have cut it.
+    """
 
     def walk(batches):
         import pyarrow as pa
@@ -202,9 +237,12 @@ def first_walk(rows: DataFrame) -> DataFrame:
             later = np.flatnonzero(region[back:] == region[:-back]) + back
             if not len(later):
                 break
-            later, same = _agreeing(marks, n, later, back)
+            later, same = _agreeing(marks, n, later, back, LIKELY_AGREEING)
             better = same > most[later]
             most[later[better]], best[later[better]] = same[better], later[better] - back
+        _, sizes = _runs(region)
+        dense = sizes > WINDOW + 1
+        dense[[0, -1]] |= sizes[[0, -1]] > 1
         live = np.zeros(len(ids), bool)
         live[[0, -1]] = True  # the next range may go on with the same region
         alike = region[1:] == region[:-1]
@@ -212,14 +250,20 @@ def first_walk(rows: DataFrame) -> DataFrame:
         live[:-1] |= alike
         kept = pa.array(np.flatnonzero(live))
         other = pa.array(ids[best], pa.int64(), mask=best < 0)
-        more = [*batch.columns, other, pa.array(most, pa.int64())]
-        yield pa.RecordBatch.from_arrays(more, names=[*batch.schema.names, "other", "same"]).take(kept)
+        more = [*batch.columns, other, pa.array(most, pa.int64()), pa.array(np.repeat(dense, sizes))]
+        yield pa.RecordBatch.from_arrays(more, names=[*batch.schema.names, "other", "same", "dense"]).take(kept)
 
-    return rows.mapInArrow(walk, "place binary, id long, n_shingles long, marks binary, other long, same long")
+    return rows.mapInArrow(walk, "place binary, id long, n_shingles long, marks binary, other long, same long, dense boolean")
 
 
 def second_walk(rows: DataFrame) -> DataFrame:
-    """Pairs of neighbours in different components that may be links; (id, null) for crowded rows."""
+    """Pairs (a, b) in different components that may be links, and crowded rows.
+
+    rows are those of the first walk with component and trees, in how many of
+    which they are in a dense region. A crowded row is (a, null), if its region
+    has more than one component. A region that a range's end may have cut gives
+    (a, null, region, component), for crowded() to put together.
+    """
 
     def walk(batches):
         import pyarrow as pa
@@ -227,31 +271,46 @@ def second_walk(rows: DataFrame) -> DataFrame:
         batch = _whole(batches)
         if batch is None:
             return
-        region, marks = _region(batch), _fixed(batch, "marks", MARK_BYTES)
-        ids, n, own = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("id", "n_shingles", "component"))
-        some = np.unique(ids[_crowded(region)])
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), pa.int64())], names=["a", "b"])
+        region, deeper, marks = _region(batch), _region(batch, DEEPER), _fixed(batch, "marks", MARK_BYTES)
+        of = lambda name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+        ids, n, own, known, trees = of("id"), of("n_shingles"), of("component"), of("dense"), of("trees")
+        long = pa.int64()
+
+        def some(a, b=None, place=None, component=None):
+            columns = [pa.nulls(len(a), long) if c is None else pa.array(c, long) for c in (a, b, place, component)]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "region", "component"])
+
+        starts, sizes = _runs(region)
+        dense, mixed = sizes > WINDOW + 1, np.minimum.reduceat(own, starts) < np.maximum.reduceat(own, starts)
+        cut = np.zeros(len(sizes), bool)
+        cut[[0, -1]] = True
+        free = known & (trees <= DENSE_TREES)  # all other regions of these rows are thin
+        at_end = np.repeat(cut, sizes) & ~free
+        yield some(ids[at_end], None, region[at_end].view(np.int64), own[at_end])
+        yield some(np.unique(ids[np.repeat(dense & mixed & ~cut, sizes) & ~free]))
+        thin = np.repeat(~dense & ~cut, sizes)
         for back in range(1, min(WINDOW, len(ids) - 1) + 1):
             later = np.flatnonzero(region[back:] == region[:-back]) + back
             if not len(later):
                 break
-            later, _ = _agreeing(marks, n, later[own[later] != own[later - back]], back)
+            later = later[own[later] != own[later - back]]
+            near = (deeper[later] == deeper[later - back]) & (free[later] | free[later - back])
+            later, _ = _agreeing(marks, n, later[thin[later] | near], back, LEAST_AGREEING)
             if len(later):
                 one, two = ids[later], ids[later - back]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], names=["a", "b"]
-                )
+                yield some(np.maximum(one, two), np.minimum(one, two))
 
-    return rows.mapInArrow(walk, "a long, b long")
+    return rows.mapInArrow(walk, "a long, b long, region long, component long")
 
 
-def _crowded(region: np.ndarray) -> np.ndarray:
-    """Rows of regions that the look-back does not cover, or that may go on in the range before or after."""
-    starts = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
-    sizes = np.diff(np.append(starts, len(region)))
-    crowded = sizes > WINDOW + 1
-    crowded[[0, -1]] = True
-    return np.repeat(crowded, sizes)
+def crowded(walked: DataFrame) -> DataFrame:
+    """id of the crowded rows of second_walk()."""
+    cut = walked.where("region is not null").select("region", "component", F.col("a").alias("id"))
+    mixed = cut.groupBy("region").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
+    )
+    cut = join_by_key(cut, mixed.where("low < high").select("region", "size"), ["region"], "size", cut.count())
+    return walked.where("b is null and region is null").select(F.col("a").alias("id")).union(cut.select("id")).distinct()
 
 
 def in_order(rows: DataFrame, ranges: int) -> DataFrame:
@@ -294,21 +353,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, each a grouped minimum and a
     join, until nothing changes; the number of rounds grows with the logarithm
-    of the longest path.
+    of the longest path. Centres of large stars are joined apart.
     """
-    before = None
+    before, total = None, edges.count()
     while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("size"))
+        large = join_by_key(both, least, ["u"], "size", 2 * total)
+        large = large.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = settle(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        rest = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("size"))
+        rest = join_by_key(large, low, ["a"], "size", total).where("b > m")
+        rest = rest.select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = settle(rest.union(low.select("a", F.col("m").alias("b"))).distinct(), "small-star")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        before, total = now, now[0]
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 
@@ -341,7 +402,7 @@ def prefix_lengths(n: int) -> tuple[int, int]:
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
-    """shingle, id, component, n_shingles, marks and short for each shingle of a set's prefix, rare ones first.
+    """shingle, place, id, name_a, component, n_shingles and short for each shingle of a set's prefix, rare ones first.
 
     texts has id, component and text. Any two sets at the threshold have a
     common shingle in the short prefix of the smaller and the whole of the larger.
@@ -360,65 +421,129 @@ def prefixes(texts: DataFrame) -> DataFrame:
                 weight = np.where(names[at] == found, n[at], 0) if len(names) else np.zeros(len(found), np.int64)
                 short, whole = prefix_lengths(len(found))
                 first = found[np.lexsort((found, weight))[:whole]].view(np.int64).tolist()
-                marks = packed_marks(signature(found))
-                out += [(s, key, component, len(found), marks, i < short) for i, s in enumerate(first)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+                name_a = names_of(found)[0]
+                out += [(s, i, key, name_a, component, len(found), i < short) for i, s in enumerate(first)]
+            kinds = (*[pa.int64()] * 6, pa.bool_())
             columns = zip(*out, strict=True) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["shingle", "id", "component", "n_shingles", "marks", "short"],
+                names=["shingle", "place", "id", "name_a", "component", "n_shingles", "short"],
             )
 
     return texts.select("id", "component", "text").mapInArrow(
-        cut, "shingle long, id long, component long, n_shingles long, marks binary, short boolean"
+        cut, "shingle long, place long, id long, name_a long, component long, n_shingles long, short boolean"
     )
 
 
-def _met(ids, n, own, marks, short, block) -> tuple[np.ndarray, np.ndarray]:
-    """Of the rows of two blocks (or one, with itself): pairs in different components that may be links."""
-    ones, twos = [], []
-    apart = block[0] != block[-1] if len(block) else False
-    for i in np.flatnonzero(short):
-        fit = (own != own[i]) & (n >= n[i]) & (100 * n[i] >= PERCENT * n)
-        if apart:
-            fit &= block != block[i]
+def wide_marks(texts: DataFrame) -> DataFrame:
+    """id, name_a and WIDE_HASHES marks of texts with id and text."""
+
+    def describe(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, names, marks = [], [], []
+            for key, text in utf8_rows(batch, "id", "text"):
+                found = shingles(text)
+                ids.append(key)
+                names.append(names_of(found)[0])
+                marks.append(packed_marks(signature(found, WIDE_HASHES)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(marks, pa.binary())], names=["id", "name_a", "marks"]
+            )
+
+    return texts.select("id", "text").mapInArrow(describe, "id long, name_a long, marks binary")
+
+
+def heads(rows: DataFrame) -> DataFrame:
+    """id, name_a and head: the first HEAD shingles of each prefix in order, as many as there are."""
+    first = F.array_sort(F.collect_list(F.struct("place", "shingle")))  # HEAD at most
+    found = rows.where(F.col("place") < HEAD).groupBy("id", "name_a").agg(first.alias("f"))
+    return found.select("id", "name_a", F.transform("f", lambda s: s["shingle"]).alias("head"))
+
+
+def _met(ids, n, own, marks, short, side, place, head) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of a group: pairs of the two sides (or of one, with itself), in different components, that may be links."""
+    apart = bool(len(side)) and side[0] != side[-1]
+    looked = np.arange(len(ids))
+    if apart:
+        sides = np.flatnonzero(side == side[0]), np.flatnonzero(side == side[-1])
+        looked = min(sides, key=len)
+    ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in looked:
+        fit = (own != own[i]) & np.where(n > n[i], short[i], np.where(n < n[i], short, short | short[i]))
+        fit &= (100 * n[i] >= PERCENT * n) & (100 * n >= PERCENT * n[i])
+        fit &= side != side[i] if apart else ids > ids[i]
         other = np.flatnonzero(fit)
         if len(other):
-            other = other[_SAME[marks[other] ^ marks[i]].sum(axis=1, dtype=np.int64) >= LEAST_AGREEING]
-            ones.append(np.full(len(other), ids[i]))
-            twos.append(ids[other])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *ones]), np.concatenate([none, *twos])
+            other = other[agreeing(marks[other], marks[i]) >= WIDE_AGREEING]
+        before = head[i, : place[i]]
+        if len(other) and len(before):
+            # a common shingle further in front: the pair meets there as well, and is looked at there
+            met = np.isin(head[other], before) & (np.arange(HEAD) < place[other, None])
+            other = other[~met.any(axis=1)]
+        ones.append(np.full(len(other), ids[i]))
+        twos.append(ids[other])
+    return np.concatenate(ones), np.concatenate(twos)
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """prefixes() rows of lists with more than one component, once per group (shingle, i, j) of two blocks that meet.
+
+    Most rows of a list are often of one component already, its main one. They
+    are cut into blocks that meet the blocks of all others, and the others'
+    blocks meet each other too; rows of the main component never meet. side
+    tells the two blocks of a group apart.
+    """
+    per = rows.groupBy("shingle", "component").agg(F.count("*").alias("n"), F.max("short").alias("short"))
+    lists = per.groupBy("shingle").agg(
+        F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.max("short").alias("short")
+    )
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    lists = lists.where(F.col("short") & (F.col("size") > F.col("main.n"))).select(
+        "shingle",
+        "size",
+        F.col("main.component").alias("main"),
+        blocks(F.col("main.n")).alias("mains"),
+        blocks(F.col("size") - F.col("main.n")).alias("others"),
+    )
+    rows = join_by_key(rows, lists, ["shingle"], "size", rows.count()).withColumn("is_main", F.col("component") == F.col("main"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    group = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    b, mains = F.col("block"), F.col("mains")
+    meets_others = F.transform(upto(F.col("others")), lambda y: group(b, y, F.lit(0)))
+    meets_main = F.transform(upto(mains), lambda x: group(x, b, F.lit(1)))
+    each_other = F.transform(upto(F.col("others")), lambda y: group(mains + F.least(b, y), F.greatest(b, y), b))
+    groups = F.when(F.col("is_main"), meets_others).otherwise(F.concat(meets_main, each_other))
+    return rows.select("shingle", "place", "id", "name_a", "component", "n_shingles", "short", F.inline(groups))
 
 
 def crowd_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of prefixes() rows with a common shingle, in different components, that may be links."""
-    lists = rows.groupBy("shingle").agg(
-        F.count("*").alias("size"), F.max("short").alias("any"), F.min("component").alias("low"), F.max("component").alias("high")
-    )
-    lists = lists.where("any and low < high").select("shingle", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = rows.join(lists, "shingle").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).drop("with", "blocks")
+    """Pairs (a, b) of in_blocks() rows, with wide marks and heads, that meet in a group and may be links."""
     group = ["shingle", "i", "j"]
 
     def compare(batches):
         import pyarrow as pa
 
-        names = ("id", "n_shingles", "component", "short", "block")
+        names = ("id", "n_shingles", "component", "short", "side", "place")
 
         def pairs(table, whole: bool):
             """Links of the groups in sorted rows, and where the last group begins unless the rows are whole."""
             keys = np.stack([table[c].to_numpy() for c in group])
             columns = [table[c].to_numpy() for c in names]
-            marks = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(-1, MARK_BYTES)
+            marks = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(-1, WIDE_HASHES // 8)
+            known = table["head"].combine_chunks()
+            counts = np.diff(known.offsets.to_numpy())
+            head = np.zeros((len(marks), HEAD), np.int64)
+            head[np.arange(HEAD) < counts[:, None]] = known.flatten().to_numpy()
             starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
             ends = [*starts[1:], len(marks)]
             ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for at, end in zip(starts if whole else starts[:-1], ends):
                 if end - at > 1:
-                    ids, n, own, short, block = (c[at:end] for c in columns)
-                    one, two = _met(ids, n, own, marks[at:end], short, block)
+                    ids, n, own, short, side, place = (c[at:end] for c in columns)
+                    one, two = _met(ids, n, own, marks[at:end], short, side, place, head[at:end])
                     ones.append(one)
                     twos.append(two)
             one, two = np.concatenate(ones), np.concatenate(twos)
@@ -435,7 +560,7 @@ def crowd_pairs(rows: DataFrame) -> DataFrame:
         if held:
             yield pairs(pa.Table.from_batches(held), True)[0]
 
-    spread = rows.repartition(*group).sortWithinPartitions(*group, "block", "id")
+    spread = rows.repartition(*group).sortWithinPartitions(*group, "side", "id")
     return spread.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -449,6 +574,14 @@ def merged_by(links: DataFrame, found: DataFrame) -> DataFrame:
     return merged.select(F.col("id").alias("component"), F.col("component").alias("final"))
 
 
+def renamed(ids: DataFrame, merged: DataFrame) -> DataFrame:
+    """ids with components replaced by what they are merged into; a component may hold most of the rows."""
+    size = ids.groupBy("component").agg(F.count("*").alias("_size"))
+    names = merged.join(size, "component")
+    out = join_by_key(ids, names, ["component"], "_size", ids.count(), "left")
+    return out.withColumn("component", F.coalesce("final", "component")).drop("final")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id, kept.
 
@@ -457,14 +590,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     Two documents are linked when 100 * intersection >= 75 * union;
     component_id is the smallest key a document reaches over links, and kept
     tells whether it is its own. Null, empty and blank texts have no shingles
-    and no links. Rows with equal keys are one document for linking. Other
-    columns are ignored; an empty table gives an empty result. key is integer.
+    and no links. Rows with equal keys are one document for linking; a row with
+    a null key has only the links of an equal shingle set. Other columns are
+    ignored; an empty table gives an empty result. key is integer.
     """
     sets = settle(set_table(docs, key), "sets")
     name = ["n_shingles", "name_a", "name_b"]
     some = sets.where("n_shingles > 0")
-    classes = some.groupBy(*name).agg(F.min("id").alias("id"))
+    classes = settle(some.groupBy(*name).agg(F.min("id").alias("id"), F.count("*").alias("size")), "class-names")
     kept = some.join(classes.select("id", *name), ["id", *name], "left_semi").dropDuplicates(["id", *name])
+    kept = settle(kept, "class-sets")
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = kept.select("id", "n_shingles", "sig", "marks", tree.alias("tree")).select(
         F.concat(
@@ -474,8 +609,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         "n_shingles",
         "marks",
     )
-    rows = settle(rows, "forest")
-    ranges = max(12, -(-rows.count() // ROWS_A_RANGE))
+    ranges = max(12, -(-kept.count() * TREES // ROWS_A_RANGE))
     live = settle(first_walk(in_order(rows, ranges)), "live")
     nearest = live.where("other is not null and other != id").groupBy("id", "other").agg(F.max("same").alias("same"))
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("same"), "other"))  # TREES rows an id at most
@@ -483,21 +617,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     edges = nearest.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
     found = components(settle(confirmed(settle(edges.distinct(), "edges"), docs, key), "links"))
     found = settle(found, "components")
-    known = live.drop("other", "same").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    trees = live.where("dense").groupBy("id").agg(F.count("*").alias("trees"))
+    known = live.drop("other", "same").join(found.join(trees, "id", "full"), "id", "left")
+    known = known.withColumns({"component": F.coalesce("component", "id"), "trees": F.coalesce("trees", F.lit(0))})
     # other cuts than before, so that what a range's end has parted meets here
-    more = settle(second_walk(in_order(known, ranges + 1)).distinct(), "cross-edges")
-    merged = merged_by(confirmed(more.where("b is not null"), docs, key), found)
+    more = settle(second_walk(in_order(known, ranges + 1)), "cross-edges")
+    merged = merged_by(confirmed(more.where("b is not null").select("a", "b").distinct(), docs, key), found)
     ids = classes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    ids = ids.join(merged, "component", "left").select("id", *name, F.coalesce("final", "component").alias("component"))
-    ids = settle(ids, "classes")
-    crowd = more.where("b is null").select(F.col("a").alias("id")).join(ids.select("id", "component").distinct(), "id")
+    ids = settle(renamed(settle(ids, "classes"), merged), "classes")
+    crowd = crowded(more).join(ids.select("id", "component").distinct(), "id")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = texts.where("text is not null").join(crowd.hint("merge"), "id").distinct()
-    rest = settle(crowd_pairs(settle(prefixes(settle(texts, "crowd", "zstd")), "prefixes")), "crowd-edges")
-    merged = merged_by(confirmed(rest, docs, key), ids.select("id", "component").distinct())
-    ids = ids.join(merged, "component", "left").select(*name, F.coalesce("final", "component").alias("component_id"))
-    own = sets.select("id", *name).join(ids, name, "left")
-    own = own.withColumn("component_id", F.coalesce("component_id", "id"))
+    texts = settle(texts, "crowd", "zstd")
+    first = settle(prefixes(texts), "prefixes")
+    met = settle(in_blocks(first), "blocks")
+    some = texts.join(met.select("id").distinct().hint("merge"), "id", "left_semi")
+    met = met.join(settle(wide_marks(some), "wide-marks"), ["id", "name_a"]).join(heads(first), ["id", "name_a"])
+    rest = settle(crowd_pairs(met), "crowd-edges")
+    ids = renamed(ids, merged_by(confirmed(rest, docs, key), ids.select("id", "component").distinct()))
+    ids = settle(ids.select(*name, F.col("component").alias("component_id"), "size"), "class-components")
+    own = join_by_key(sets.where("n_shingles > 0").select("id", *name), ids, name, "size", sets.count())
+    none = sets.where("n_shingles = 0").select("id", *name, F.col("id").alias("component_id"))
+    own = own.union(none).withColumn("component_id", F.coalesce("component_id", "id"))
     return own.select(
         F.col("id").alias(key), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )

@@ -9,6 +9,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDER: dict[str, str] = {}
+#: At most so many keys can each have more than this part of all rows.
+HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,23 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_by_key(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of facts, which has one row per key and, as size, how many rows have it.
+
+    Keys with more than a thousandth of all rows can be a thousand at most:
+    they are broadcast, so that no task gets all rows of one key.
+    """
+    from pyspark.sql import functions as F
+
+    least = max(1, total // HOT_KEYS)
+    hot = facts.where(F.col(size) > least).drop(size)
+    cold = facts.where(F.col(size) <= least).drop(size)
+    columns = [*rows.columns, *(c for c in hot.columns if c not in keys)]
+    often = rows.join(F.broadcast(hot), keys).select(*columns)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how).select(*columns)
+    return often.union(rest)
+
+
 def by_bytes(items: Iterable[tuple], limit: int, weigh) -> Iterator[list[tuple]]:
     """Group consecutive items so that each group holds about limit bytes."""
     group, held = [], 0
@@ -81,6 +100,17 @@ def utf8_rows(batch, *columns: str) -> Iterator[tuple]:
     return zip(*arrays)
 
 
+def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, with underscores in front until df has no such column in any case."""
+    taken, free = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        free.append(name)
+    return tuple(free)
+
+
 def add_columns(docs: DataFrame, fields: list[tuple[str, str]], compute) -> DataFrame:
     """docs with columns (name, type) that compute(batch) makes, as Arrow arrays; columns of those names are replaced.
 
