@@ -8,6 +8,7 @@ import public_tokenizers
 
 import corpus_pipeline
 from kinolith.llm import pii
+from kinolith.llm.shared import settle
 
 DATA = "/root/testdata/sf0.001"
 
@@ -66,3 +67,32 @@ def test_stages(spark):
 def test_run_gives_the_last_stages_rows(spark):
     rows = corpus_pipeline.run(spark, DATA)
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and rows.count() > 0
+
+
+def test_odd_columns_and_rows(spark):
+    """Columns that stages use inside keep their values; no n_chars; null, repeated and unexplained rows; an empty table."""
+    fields = "doc_id long, text string, lang string, score double, lang_pred string, Excess int, key string, id long, n long, kept boolean"
+    known = [(r["doc_id"] + 100, r["text"], r["lang"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(40).collect()]
+    odd = [(1, "a text that comes twice with one id", "en"), (1, "a text that comes twice with one id", "en"), (2, "a text that comes twice with one id", "en"), (None, "no id, mail a@b.cd", "en"), (None, "no id, mail a@b.cd", None), (3, None, None), (4, "", "en"), (5, "12 34", "en"), (6, "漢字假名交じり文章" * 30, None)]
+    rows = [(*r, 0.25 + i, f"p{i}", i, f"k{i}", 7, 8, False) for i, r in enumerate(known + odd)]
+    docs = spark.createDataFrame(rows, fields)
+    stages = dict(corpus_pipeline.STAGES)
+    own = {r[6]: r[3:] for r in rows}
+    for name, gone in (("language_id", {3, 4, 5, 6}), ("near_dedup", {2}), ("pii", set())):
+        docs = settle(stages[name](spark, docs, DATA), "odd")
+        assert docs.columns == [f.split()[0] for f in fields.split(", ")]
+        have = docs.collect()
+        assert not gone & {r["doc_id"] for r in have} and all(tuple(r)[3:] == own[r["key"]] for r in have)
+    ids = [r["doc_id"] for r in have]
+    assert ids.count(1) == 1 and ids.count(None) == 2
+    assert {r["text"] for r in have if r["doc_id"] is None} == {"no id, mail [EMAIL]"}
+    packed = stages["packing"](spark, docs, DATA)
+    assert {r["doc_id"] for r in packed.collect()} == set(ids)
+    nothing = docs.limit(0)
+    for stage in stages.values():
+        assert stage(spark, nothing, DATA).count() == 0
+
+
+def test_language_stage_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, DATA).collect()] == [1]
