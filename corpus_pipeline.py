@@ -7,31 +7,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinolith.llm import language_id, near_dedup, packing, pii
-from kinolith.llm.shared import settle, table
+from kinolith.llm.shared import free_names, settle, table
 
 WORD_BPE = "word_bpe_49k.json"
+#: Bits beyond the plain bytes from which a text counts as in no learned language; a few short words never reach it.
+UNEXPLAINED_BITS = 64
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language (null texts and texts without a letter)."""
-    found = language_id.with_language(docs, language_id.learn(docs))
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    """Drop texts without a letter, and texts that no learned language explains.
+
+    The latter cost the best language's model over UNEXPLAINED_BITS more than
+    their plain bytes do. Where nothing could be learned, every text with a
+    letter stays. Null and empty texts have no letter. Repeated rows share a
+    fate; columns keep their values, whatever their names.
+    """
+    name, score, excess = free_names(docs, "lang_pred", "score", "excess")
+    model = language_id.learn(docs)
+    found = language_id.with_language(docs, model, (name, score, excess))
+    if model.languages:
+        kept = (F.col(name) != language_id.UNKNOWN) & (F.col(excess) <= UNEXPLAINED_BITS)
+    else:
+        kept = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return found.where(kept).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each near-duplicate group."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    """Keep the document with the smallest doc_id of each near-duplicate group.
+
+    Rows that repeat both doc_id and text are one document and stay once; rows
+    without a doc_id cannot be told apart and all stay. Texts without a word
+    are in no group.
+    """
+    found = near_dedup.near_duplicates(docs).where("doc_id is not null")
+    kept = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept")
+    kept = settle(kept.select("doc_id", "n"), "kept")
+    stay = docs.join(kept.where("n = 1").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    if kept.where("n > 1").limit(1).count():
+        again = docs.join(kept.where("n > 1").hint("merge"), "doc_id", "left_semi")
+        stay = stay.union(again.dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+    return stay.union(docs.where("doc_id is null"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind; n_chars follows the text."""
-    size = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return pii.redact(docs).withColumn("n_chars", size).select(*docs.columns)
+    """Replace personal data by its kind; n_chars, where there is such a column, follows the text.
+
+    Null texts stay null, with their n_chars; no row is dropped or joined.
+    """
+    clean = pii.redact(docs)
+    if "n_chars" in docs.columns:
+        size = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+        clean = clean.withColumn("n_chars", size)
+    return clean.select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack every token into sequences of 2048; one row per piece."""
+    """Pack every token into sequences of 2048; one row per piece.
+
+    A null or empty text is its end id alone; repeated rows are documents of their own.
+    """
     packed = packing.pack(docs, public_tokenizers.path(WORD_BPE))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
