@@ -119,6 +119,21 @@ j as (select p.*, coalesce(strict, 0)::int as strict_hits, coalesce(soft, 0)::in
 select page_id, host, path, case {case(lambda v, h, p: h + p)} end as rule, case {case(lambda v, h, p: v)} when weight >= {block} then 'block' else 'allow' end as verdict, strict_hits, soft_hits, weight from j"""
 
 
+#: Components by all pairs with a common shingle. The words are joined by blanks, which no word holds.
+_NEAR_SQL = """with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) end as s from d),
+e as (select doc_id, unnest(s) as x, len(s) as n from s),
+p as materialized (select a.doc_id as a, b.doc_id as b from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r as (select doc_id as id, doc_id as label from s union select l.y, r.label from r join (select a as x, b as y from p union all select b, a from p) l on l.x = r.id),
+c as (select id, min(label) as component_id from r group by 1)
+select doc_id, len(s) as n_shingles, component_id, doc_id = component_id as kept from s join c on id = doc_id"""
+
+_TOP_SQL = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+p as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from p)
+select query_id, rank, vec_id, score from r where rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say it over the whole table."""
-    return {"op7_url_filter": _urls_sql()}
+    return {"op2_minhash_near_dedup": _NEAR_SQL, "op3_topk_search": _TOP_SQL, "op7_url_filter": _urls_sql()}
