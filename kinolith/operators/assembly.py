@@ -70,9 +70,11 @@ def rank_in_groups(rows: DataFrame, groups: Sequence[str], order: Sequence[str],
     return joined.select(*rows.columns, (F.col("_number") - F.col("_first")).alias(name), *([F.col("_size").alias(size)] if size else []))
 
 
-def quantiles(rows: DataFrame, groups: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
+def quantiles(rows: DataFrame, groups: Sequence[str], value: str, shares: Mapping[str, float], size: str | None = None) -> DataFrame:
     """One row per group with its exact quantiles, interpolated linearly, under the names of shares; nulls are left out.
 
+    size names a column for how many values a group has.
+
     From counts per distinct value and their running total, so no group is ever
     held in one task. Without groups it is one row for the whole table.
     """
@@ -90,9 +92,9 @@ def quantiles(rows: DataFrame, groups: Sequence[str], value: str, shares: Mappin
         found.append(F.min(F.when(upto > F.floor(at), F.col("_v"))).alias(f"_low_{name}"))
         found.append(F.min(F.when(upto > F.ceil(at), F.col("_v"))).alias(f"_high_{name}"))
         found.append(F.max(at - F.floor(at)).alias(f"_part_{name}"))
-    picked = up.groupBy(*groups).agg(*found)
+    picked = up.groupBy(*groups).agg(*found, F.max("_n").alias("_n"))
     value_of = lambda n: F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}")
-    return picked.select(*groups, *[value_of(n).alias(n) for n in shares])
+    return picked.select(*groups, *[value_of(n).alias(n) for n in shares], *([F.col("_n").alias(size)] if size else []))
 
 
 def ordered_distinct(rows: DataFrame, value: str, position: str) -> DataFrame:

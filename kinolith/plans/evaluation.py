@@ -98,9 +98,8 @@ def star_rollup(spark, sf_dir):
     places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     suppliers = table(spark, sf_dir, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "r_name")
     joined = lines.join(parts, "l_partkey").join(suppliers, "l_suppkey")
-    medians = assembly.quantiles(joined, ["r_name", "p_brand"], "l_extendedprice", {"median_price": 0.5})
-    counts = joined.groupBy("r_name", "p_brand").agg(F.count("*").alias("n"))
-    return medians.join(counts, ["r_name", "p_brand"]).select("r_name", "p_brand", F.round("median_price", 4).alias("median_price"), "n")
+    medians = assembly.quantiles(joined, ["r_name", "p_brand"], "l_extendedprice", {"median_price": 0.5}, "n")
+    return medians.withColumn("median_price", F.round("median_price", 4))
 
 
 @query("""with b as (select floor(log10(l_extendedprice) / 0.25)::int as bin from lineitem), c as (select bin, count(*) as n from b group by 1)
