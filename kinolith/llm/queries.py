@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinolith.llm import language_id, media_mkv, near_dedup, packing, pieces, pii, secret_scan, token_counts, topk_search, url_filter
+from kinolith.llm import filter_audit, html_extraction, language_id, media_mkv, near_dedup, packing, pieces, pii, secret_scan, token_counts, topk_search, url_filter, whitening
 from kinolith.llm.shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -88,6 +88,24 @@ def op10_media_mkv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_mkv.digests(media_mkv.store(table(spark, sf_dir, "documents")))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the first four whitened components."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    # a deviation beyond a long, from some ten billion vectors on, is null here and whole in the operator
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from documents, in all orders, by language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -100,6 +118,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_pii": op9_pii,
         "op10_media_mkv": op10_media_mkv,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_html_extraction": op13_html_extraction,
     }
 
 
@@ -133,7 +154,24 @@ p as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, le
 r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from p)
 select query_id, rank, vec_id, score from r where rank <= 5"""
 
+#: Every order over the cells of each part.
+_AUDIT_SQL = """with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w, min(doc_id) over (partition by t) as first from d),
+l as (select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic from labels group by 1),
+m as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] as f from w left join l using (doc_id)),
+c as (select part, f, list_sum(list_transform(f, lambda x: x::int)) as k, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from m group by part, f),
+x(i, f) as (values (1, 'A'), (2, 'B'), (3, 'C'), (4, 'D'), (5, 'E')),
+o as (select [a.i, b.i, c.i, d.i, e.i] as o, a.f || b.f || c.f || d.f || e.f as filter_order from x a, x b, x c, x d, x e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s as (select o, filter_order, unnest([1, 2, 3, 4, 5]) as step from o),
+j as (select part, filter_order, step, n, good, toxic, k, f[o[step]] as own, len(list_filter(o[1 : step - 1], lambda i: f[i])) > 0 as before from c, s)
+select part, filter_order, step::int as step, sum(case when own or before then 0 else n end)::bigint as kept, sum(case when own and not before then n else 0 end)::bigint as removed, sum(case when own and before then n else 0 end)::bigint as redundant, sum(case when own and k = 1 then n else 0 end)::bigint as unique_fails, sum(case when own and not before then good else 0 end)::bigint as good_lost, sum(case when own and not before then toxic else 0 end)::bigint as toxic_lost, sum(case when own then n * 120 // k else 0 end)::bigint as shapley from j group by all"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say it over the whole table."""
-    return {"op2_minhash_near_dedup": _NEAR_SQL, "op3_topk_search": _TOP_SQL, "op7_url_filter": _urls_sql()}
+    return {
+        "op2_minhash_near_dedup": _NEAR_SQL,
+        "op3_topk_search": _TOP_SQL,
+        "op7_url_filter": _urls_sql(),
+        "op12_filter_audit": _AUDIT_SQL,
+    }
