@@ -16,7 +16,7 @@ import uuid
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinolith.llm.shared import add_columns, utf8_rows
@@ -25,8 +25,10 @@ from kinolith.llm.token_counts import LONGEST_CACHED, segments
 ORDER = 4
 #: About so many labelled documents of each language are learned from.
 SAMPLE_DOCUMENTS = 2_000
-#: Their most frequent words; the bound on what the driver gets, over all languages.
-SAMPLE_WORDS = 120_000
+#: Languages a model may have; its costs have a column for each.
+MOST_LANGUAGES = 256
+#: Bytes of distinct words from which the rate of a text's code means something.
+LEAST_LETTERS = 16
 CHUNK_CACHE = 500_000
 UNKNOWN = "und"
 
@@ -35,8 +37,25 @@ _SYMBOLS = 257
 
 
 def letters(chunk: bytes) -> list[bytes]:
-    """The words of a piece of text: runs of letters, in lower case."""
-    return [w.encode() for w in _WORD.findall(chunk.decode("utf-8", "replace").lower())]
+    """The words of a piece of text: runs of letters, in lower case; signs like \u00b2 or \u2167 are none."""
+    found = []
+    for word in _WORD.findall(chunk.decode("utf-8", "replace").lower()):
+        if word.isalpha():
+            found.append(word.encode())
+        else:
+            found += (w.encode() for w in "".join(c if c.isalpha() else " " for c in word).split())
+    return found
+
+
+def grams_of(words: Counter) -> Counter:
+    """How often each byte follows each context of up to ORDER bytes in the words."""
+    found: Counter = Counter()
+    for word, times in words.items():
+        marked = b" " + word + b" "
+        for order in range(ORDER + 1):
+            for i in range(max(1, order), len(marked)):
+                found[marked[i - order : i + 1]] += times
+    return found
 
 
 class Model:
@@ -46,20 +65,13 @@ class Model:
     cost; grams[k] the known (context, byte) with each language's whole cost.
     """
 
-    def __init__(self, languages: list[str], words: dict[str, dict[bytes, int]]):
+    def __init__(self, languages: list[str], counted: dict[str, dict[bytes, int]]):
         self.languages = languages
         many = len(languages)
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
         self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
         for order in range(ORDER + 1):
-            seen: list[Counter] = []
-            for language in languages:
-                counts: Counter = Counter()
-                for word, times in words[language].items():
-                    marked = b" " + word + b" "
-                    for i in range(max(1, order), len(marked)):
-                        counts[marked[i - order : i + 1]] += times
-                seen.append(counts)
+            seen = [{g: n for g, n in counted[language].items() if len(g) == order + 1} for language in languages]
             grams = sorted(set().union(*seen))
             contexts = sorted({g[:-1] for g in grams})
             where = {c: i for i, c in enumerate(contexts)}
@@ -175,6 +187,20 @@ class Scorer:
         return total
 
 
+def enough_letters(text: bytes) -> bool:
+    """Whether the distinct words of a text have LEAST_LETTERS bytes; looks no further than it must."""
+    seen: set[bytes] = set()
+    size = 0
+    for part in segments(text, 1 << 12):
+        for word in letters(part):
+            if word not in seen:
+                seen.add(word)
+                size += len(word)
+        if size >= LEAST_LETTERS:
+            return True
+    return False
+
+
 _SCORERS: dict[str, Scorer] = {}
 
 
@@ -186,46 +212,43 @@ def held_out(key: str):
 def learn(docs: DataFrame, key: str = "doc_id", label: str = "lang") -> Model:
     """Context trees from a bounded sample of the labelled documents that are not held out.
 
-    About SAMPLE_DOCUMENTS of each language (drawn by a hash of the key), their
-    SAMPLE_WORDS most frequent words over all languages.
+    About SAMPLE_DOCUMENTS of each language, drawn by a hash of the key; all of
+    what they hold is counted, in Spark, and the driver gets how often each byte
+    followed each context. A table may have MOST_LANGUAGES labels.
     """
     labelled = docs.select(
         F.col(key).alias("key"), F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("label")
     ).where(F.col("label").isNotNull() & ~held_out("key"))
-    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = sorted(sizes)
     if not languages:
         return Model([], {})
-    share = F.lit(0.0)
-    for language, n in sizes.items():
-        share = F.when(F.col("label") == language, F.lit(min(1.0, SAMPLE_DOCUMENTS / n))).otherwise(share)
-    drawn = labelled.where((F.pmod(F.xxhash64("key"), F.lit(1_000_003)) / 1_000_003 < share) & F.col("text").isNotNull())
+    shares = F.create_map(*(F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, SAMPLE_DOCUMENTS / n))))
+    drawn = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) / 1_000_003 < F.element_at(shares, F.col("label")))
 
     def count(batches):
         import pyarrow as pa
 
+        words: dict[str, Counter] = {}
         for batch in batches:
-            counts: Counter = Counter()
             for text, name in utf8_rows(batch, "text", "label"):
                 for part in segments(text):
-                    counts.update((name, w) for w in letters(part))
+                    words.setdefault(name, Counter()).update(letters(part))
+        for name, own in words.items():
+            grams = grams_of(own)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in counts], pa.string()),
-                    pa.array([k[1] for k in counts], pa.binary()),
-                    pa.array(list(counts.values()), pa.int64()),
-                ],
-                names=["label", "word", "n"],
+                [pa.array([name] * len(grams), pa.string()), pa.array(list(grams), pa.binary()), pa.array(list(grams.values()), pa.int64())],
+                names=["label", "gram", "n"],
             )
 
-    counted = drawn.select("text", "label").mapInArrow(count, "label string, word binary, n long")
-    counted = counted.groupBy("label", "word").agg(F.sum("n").alias("n"))
-    best = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "word"))
-    counted = counted.withColumn("best", best).where(F.col("best") <= max(1, SAMPLE_WORDS // len(languages)))
-    words: dict[str, dict[bytes, int]] = {language: {} for language in languages}
-    for row in counted.collect():
-        words[row["label"]][bytes(row["word"])] = row["n"]
-    return Model(languages, words)
+    counted = drawn.where("text is not null").select("text", "label").mapInArrow(count, "label string, gram binary, n long")
+    counted = counted.groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    grams: dict[str, dict[bytes, int]] = {language: {} for language in languages}
+    for row in counted.toLocalIterator():
+        grams[row["label"]][bytes(row["gram"])] = row["n"]
+    return Model(languages, grams)
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
@@ -244,14 +267,16 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     return found.select(F.col("key").alias(key), held_out("key").alias("held_out"), "lang_pred", "score")
 
 
-def with_language(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "excess")) -> DataFrame:
-    """The rows of docs with lang_pred and score, as identify() gives them, and excess, under the names given.
+def with_language(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """The rows of docs with lang_pred and score, as identify() gives them, and bits_per_byte, under the names given.
 
-    excess is by how many bits the best language's code of the letters is
-    longer than their plain bytes: over 0, the model explains nothing of them.
-    It is 0 if nothing was learned or there is no letter. All other columns stay.
+    bits_per_byte is what the best language's code spends on a byte of the
+    text's letters, the same for a text and its repetition. Plain bytes take 8.
+    It is 0 if nothing was learned or there is no letter, and where the distinct
+    words have fewer than LEAST_LETTERS bytes, which say too little. All other
+    columns stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE_WORDS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE_DOCUMENTS and MOST_LANGUAGES
     name_of_model = uuid.uuid4().hex
 
     def predict(batch):
@@ -262,19 +287,19 @@ def with_language(docs: DataFrame, model: Model, names: tuple[str, str, str] = (
             _SCORERS[name_of_model] = Scorer(shared.value)
         scorer = _SCORERS[name_of_model]
         languages = scorer.model.languages
-        found, scores, excess = [], [], []
+        found, scores, rates = [], [], []
         for (text,) in utf8_rows(batch, "text"):
             bits = scorer.score(text or b"")
             if not languages or bits[-1] == 0:
                 found.append(UNKNOWN)
                 scores.append(0.0)
-                excess.append(0.0)
+                rates.append(0.0)
                 continue
             lengths = bits[:-1]
             best = int(lengths.argmin())
             found.append(languages[best])
             scores.append(float(1 / np.exp2(np.maximum(lengths[best] - lengths, -1000)).sum()))
-            excess.append(float(lengths[best] - 8 * bits[-1]))
-        return [pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(excess, pa.float64())]
+            rates.append(float(lengths[best] / bits[-1]) if enough_letters(text) else 0.0)
+        return [pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
 
     return add_columns(docs, list(zip(names, ("string", "double", "double"), strict=True)), predict)

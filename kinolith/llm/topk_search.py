@@ -30,6 +30,8 @@ QUERY_ROWS = 1024
 SLICE_ROWS = 4096
 #: From this cosine on, length alone prunes well; below, the query's main coordinate is tested.
 LENGTH_ONLY = 0.97
+#: Facts on norm groups that are broadcast; their number follows the number of different dimensions.
+SENT_ROWS = 100_000
 
 
 def integer_vectors(vectors: DataFrame, key: str, column: str, scale: int) -> DataFrame:
@@ -48,7 +50,7 @@ def integer_vectors(vectors: DataFrame, key: str, column: str, scale: int) -> Da
 
 def _matrix(column, dim: int) -> np.ndarray:
     flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
-    return flat.flatten().to_numpy().reshape(-1, dim)
+    return flat.flatten().to_numpy().reshape(len(column), dim)
 
 
 def _products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -136,6 +138,11 @@ def _searched(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _by_size(facts: DataFrame) -> DataFrame:
+    """A written table of block facts, to be broadcast while it has at most SENT_ROWS rows; then a plain join."""
+    return F.broadcast(facts) if facts.limit(SENT_ROWS + 1).count() <= SENT_ROWS else facts.hint("merge")
+
+
 def _slices(rows: str) -> Column:
     return F.ceil(F.col(rows) / SLICE_ROWS).cast("int").alias("slices")
 
@@ -158,8 +165,8 @@ def top_k(
     divisible by query_every, candidates all rows with another key. Ties go to
     the smaller key; fewer candidates than k give all of them. Vectors that are
     null or hold null or non-finite components take no part, nor do null keys;
-    vectors of different dimension are not compared; an empty table gives no
-    rows; of repeated keys the smallest vector is the query, each row is a
+    vectors of different dimension are not compared; empty vectors meet each
+    other with product 0; an empty table gives no rows; of repeated keys the smallest vector is the query, each row is a
     candidate of the others. Other columns are ignored.
     """
     whole = settle(integer_vectors(vectors, key, column, scale), "vectors")
@@ -175,7 +182,7 @@ def top_k(
     held = grouped.groupBy("dim", "grp").agg(F.count("*").alias("held"), F.max("norm2").alias("longest2"))
     held = held.withColumn("parts", F.ceil(F.col("held") / BLOCK_ROWS).cast("int"))
     held = settle(held, "norm-groups")
-    blocks = grouped.join(F.broadcast(held.select("dim", "grp", "parts")), ["dim", "grp"])  # NORM_GROUPS rows a dimension
+    blocks = grouped.join(_by_size(held.select("dim", "grp", "parts")), ["dim", "grp"])
     blocks = blocks.withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int"))
     blocks = blocks.select("id", "v", "dim", "grp", F.struct("part").alias("block"))
     one = whole.where(F.col("id") % query_every == 0).groupBy("id").agg(F.min(F.struct("v", "dim", "norm2")).alias("q"))
@@ -184,7 +191,7 @@ def top_k(
     first = held.groupBy("dim").agg(F.max("grp").alias("grp"))
     first = first.join(queries.groupBy("dim").agg(F.count("*").alias("n")), "dim").select("dim", "grp", _slices("n"))
     place = lambda at: F.struct("dim", "grp", F.lit(0).alias("part"), at.alias("slice")).alias("block")
-    first = F.broadcast(settle(first, "first-blocks"))  # a row a dimension
+    first = _by_size(settle(first, "first-blocks"))
     seeds = queries.join(first, "dim").select(place(_slice_of("id")), "id", "v", "norm", F.lit(None).cast("long").alias("bound"))
     longest = blocks.where("block.part = 0").join(first, ["dim", "grp"])
     longest = longest.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
@@ -192,7 +199,7 @@ def top_k(
     bounds = seeded.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
     bounds = bounds.select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("low")).alias("bound"))
     # norm groups that can still matter to a query; the bound is tested before rows are sent
-    asked = queries.join(bounds, "id", "left").join(F.broadcast(held), "dim")
+    asked = queries.join(bounds, "id", "left").join(_by_size(held), "dim")
     asked = settle(
         asked.where(
             F.col("bound").isNull() | (F.col("norm") * F.sqrt("longest2") * (1 + 1e-9) + 1e-6 >= F.col("bound"))
@@ -201,10 +208,10 @@ def top_k(
     )
     counted = settle(asked.groupBy("dim", "grp").agg(F.count("*").alias("n")).select("dim", "grp", _slices("n")), "slices")
     place = lambda part, at: F.struct("dim", "grp", part.alias("part"), at.alias("slice")).alias("block")
-    asked = asked.join(F.broadcast(counted), ["dim", "grp"]).withColumn("at", _slice_of("id"))  # a row a norm group
+    asked = asked.join(_by_size(counted), ["dim", "grp"]).withColumn("at", _slice_of("id"))
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     asked = asked.select(place(F.col("part"), F.col("at")), "id", "v", "norm", "bound")
-    blocks = blocks.join(F.broadcast(counted), ["dim", "grp"])
+    blocks = blocks.join(_by_size(counted), ["dim", "grp"])
     blocks = blocks.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     blocks = blocks.select(place(F.col("block.part"), F.col("at")), "id", "v")
     hits = _searched(asked, blocks, k)

@@ -228,6 +228,15 @@ def test_top_k(spark):
     assert topk_search.top_k(vectors.limit(0)).count() == 0
 
 
+def test_top_k_of_empty_and_mixed_vectors(spark, monkeypatch):
+    rows = [(0, []), (3, []), (100, []), (50, [1.0, 2.0]), (51, [2.0]), (52, [3.0, 1.0]), (150, [0.0]), (53, [float("nan")]), (54, [None])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = {(0, 1, 3, 0), (0, 2, 100, 0), (100, 1, 0, 0), (100, 2, 3, 0), (50, 1, 52, 5 * 65536), (150, 1, 51, 0)}
+    assert set(map(tuple, topk_search.top_k(vectors).collect())) == want
+    monkeypatch.setattr(topk_search, "SENT_ROWS", 1)  # facts beyond the bound are joined
+    assert set(map(tuple, topk_search.top_k(vectors).collect())) == want
+
+
 def test_search_block_prunes_without_loss():
     import pyarrow as pa
 
@@ -411,9 +420,35 @@ def test_language(spark, docs, nothing):
     assert {r["lang_pred"] for r in language_id.identify(docs, language_id.learn(nothing)).collect()} == {"und"}
 
 
+def test_signs_are_no_letters(spark, docs):
+    assert language_id.letters("A\u00b2b \u2167\u00bd \u00aa".encode()) == [b"a", b"b", "\u00aa".encode()]
+    rows = [(i, t, ("en", "fr")[i % 2]) for i, t in enumerate(["the house of words", "la maison des mots", "12 \u00b2 \u00bd", "\u2167 7", "the words"] * 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(frame, language_id.learn(frame)).collect()}
+    assert all((found[i][0] == "und") == (i % 5 in (2, 3)) for i in found) and found[2] == ("und", 0.0)
+
+
+def test_many_languages_and_repetitions(spark, monkeypatch):
+    rng = random.Random(4)
+    words = {f"l{i:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(3)] for i in range(200)}
+    rows = [(i, " ".join(rng.choices(words[name], k=9)), name) for i, name in enumerate(sorted(words) * 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(frame)
+    assert len(model.languages) == 200
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(frame, model).collect()}
+    assert sum(found[i] == name for i, _, name in rows) > 0.95 * len(rows)
+    odd = "\u0416\u0448\u0449\u0446 \u0444\u044b\u0432\u0430 \u044d\u044e\u044f\u0431"
+    twice = spark.createDataFrame([(1, odd, "x"), (2, " ".join([odd] * 50), "x"), (3, words["l000"][0], "x")], frame.schema)
+    one, two, three = (r["bits_per_byte"] for r in language_id.with_language(twice, model).orderBy("doc_id").collect())
+    assert one > 8 and abs(one - two) < 1e-9 and three == 0
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 100)
+    with pytest.raises(ValueError):
+        language_id.learn(frame)
+
+
 def test_code_lengths_follow_the_definition():
     words = {"x": {b"abab": 3, b"abc": 1}, "y": {b"ba": 2}}
-    model = language_id.Model(["x", "y"], words)
+    model = language_id.Model(["x", "y"], {name: language_id.grams_of(counts) for name, counts in words.items()})
 
     def bits(word, counts):
         text, total = b" " + word + b" ", 0.0
