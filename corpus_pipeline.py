@@ -10,23 +10,26 @@ from kinolith.llm import language_id, near_dedup, packing, pii
 from kinolith.llm.shared import free_names, settle, table
 
 WORD_BPE = "word_bpe_49k.json"
-#: Bits beyond the plain bytes from which a text counts as in no learned language; a few short words never reach it.
-UNEXPLAINED_BITS = 64
+#: Bits a byte of letters from which a text counts as in no learned language; plain bytes take 8.
+UNEXPLAINED_RATE = 7.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a letter, and texts that no learned language explains.
 
-    The latter cost the best language's model over UNEXPLAINED_BITS more than
-    their plain bytes do. Where nothing could be learned, every text with a
-    letter stays. Null and empty texts have no letter. Repeated rows share a
-    fate; columns keep their values, whatever their names.
+    The latter cost the best language's model over UNEXPLAINED_RATE bits a byte
+    of their letters, whatever their length; texts of very few distinct words
+    say too little and stay, repeated or not. Where nothing could be learned,
+    every text with a letter stays. Null and empty texts have no letter, an
+    empty table gives an empty one, very long texts are scored whole, equally
+    short codes go to the first language. Repeated rows share a fate; columns
+    keep their values, whatever their names.
     """
-    name, score, excess = free_names(docs, "lang_pred", "score", "excess")
+    name, score, rate = free_names(docs, "lang_pred", "score", "bits_per_byte")
     model = language_id.learn(docs)
-    found = language_id.with_language(docs, model, (name, score, excess))
+    found = language_id.with_language(docs, model, (name, score, rate))
     if model.languages:
-        kept = (F.col(name) != language_id.UNKNOWN) & (F.col(excess) <= UNEXPLAINED_BITS)
+        kept = (F.col(name) != language_id.UNKNOWN) & (F.col(rate) <= UNEXPLAINED_RATE)
     else:
         kept = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return found.where(kept).select(*docs.columns)
@@ -37,7 +40,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat both doc_id and text are one document and stay once; rows
     without a doc_id cannot be told apart and all stay. Texts without a word
-    are in no group.
+    are in no group, very long ones are compared whole, an empty table gives an
+    empty one.
     """
     found = near_dedup.near_duplicates(docs).where("doc_id is not null")
     kept = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept")
@@ -52,7 +56,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind; n_chars, where there is such a column, follows the text.
 
-    Null texts stay null, with their n_chars; no row is dropped or joined.
+    Null texts stay null, with their n_chars; no row is dropped or joined, so
+    repeated rows stay alike; very long texts are read whole; where spans
+    overlap, the fixed kinds come first.
     """
     clean = pii.redact(docs)
     if "n_chars" in docs.columns:
@@ -64,7 +70,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack every token into sequences of 2048; one row per piece.
 
-    A null or empty text is its end id alone; repeated rows are documents of their own.
+    A null or empty text is its end id alone; repeated rows are documents of
+    their own; very long texts are cut into pieces; an empty table gives no rows.
     """
     packed = packing.pack(docs, public_tokenizers.path(WORD_BPE))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
