@@ -100,8 +100,8 @@ def ngrams(sequence: Column, n: int, begin: str = "-", end: str = "=") -> Column
     return F.filter(grams, lambda g: F.length(g) == n)
 
 
-#: Two-letter atoms and bracket tokens that stay whole; fixed values of the notation.
-ATOMS = ("Al", "As", "Ag", "Au", "Ba", "Br", "Ca", "Cd", "Cl", "Co", "Cr", "Cu", "Fe", "Hg", "Li", "Mg", "Mn", "Mo", "Na", "Ni", "Pb", "Pt", "Sb", "Se", "Si", "Sn", "Te", "Zn")
+#: Two-letter atoms that stay whole. Fixed values.
+ATOMS = ("Ag", "Al", "As", "Au", "Ba", "Be", "Bi", "Br", "Ca", "Cl", "Cu", "Fe", "He", "Kr", "Li", "Mg", "Mn", "Na", "Ni", "Ra", "Rb", "Se", "Si", "Sr", "Te", "Xe", "Zn", "se", "si", "te")
 
 
 def smiles_tokens(smiles: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinolith.operators.staging import settled
+from kinolith.operators.staging import join_facts, settled
 
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], position: Sequence[str]) -> DataFrame:
@@ -64,9 +64,8 @@ def running_total(rows: DataFrame, order: Sequence[str], amount: Column, name: s
 def rank_in_groups(rows: DataFrame, groups: Sequence[str], order: Sequence[str], name: str, size: str | None = None) -> DataFrame:
     """rows with a 0-based number in their group's order, and the group's size; a group may span many ranges."""
     numbered = dense_rank_over_ranges(rows, [*groups, *order], "_number")
-    own = [f"_g{i}" for i in range(len(groups))]
-    first = numbered.groupBy(*groups).agg(F.min("_number").alias("_first"), F.count("*").alias("_size")).toDF(*own, "_first", "_size")
-    joined = numbered.join(first, [F.col(g).eqNullSafe(F.col(o)) for g, o in zip(groups, own, strict=True)])
+    first = numbered.groupBy(*groups).agg(F.min("_number").alias("_first"), F.count("*").alias("_size"), F.count("*").alias("_rows"))
+    joined = join_facts(numbered, first, groups, "_rows")
     return joined.select(*rows.columns, (F.col("_number") - F.col("_first")).alias(name), *([F.col("_size").alias(size)] if size else []))
 
 
@@ -80,9 +79,9 @@ def quantiles(rows: DataFrame, groups: Sequence[str], value: str, shares: Mappin
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
     up = running_total(counts, [*groups, "_v"], F.col("_k"), "_all")
-    ends = up.groupBy(*groups).agg(F.min(F.col("_all") - F.col("_k")).alias("_first"), F.sum("_k").alias("_n"))
+    ends = up.groupBy(*groups).agg(F.min(F.col("_all") - F.col("_k")).alias("_first"), F.sum("_k").alias("_n"), F.count("*").alias("_rows"))
     if groups:
-        up = up.join(ends.toDF(*[f"_g{i}" for i in range(len(groups))], "_first", "_n"), [up[g].eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)])
+        up = join_facts(up, ends, groups, "_rows")
     else:
         up = up.crossJoin(F.broadcast(ends))  # one row
     upto = F.col("_all") - F.col("_first")
@@ -121,12 +120,16 @@ def attach_if_single(facts: DataFrame, candidates: DataFrame, keys: Sequence[str
 def attach_sequence(facts: DataFrame, by_id: DataFrame, by_pair: DataFrame, ids: str, pair: Sequence[str]) -> DataFrame:
     """sequence by id; two ids count if their sequences are equal; else by pair with a single candidate.
 
-    ids is a space-separated list of at most two names.
+    ids is a space-separated list of at most two names. Rows that lack an id are
+    spread over keys of their own, which no id has.
     """
     named = facts.withColumn("_ids", F.split(ids, " "))
     for i in (0, 1):
         named = named.withColumn(f"_id{i}", F.get("_ids", F.lit(i)))
-        named = named.join(by_id.select(F.col("id").alias(f"_id{i}"), F.col("sequence").alias(f"_s{i}")), f"_id{i}", "left")
+        lacking = F.concat(F.lit("\n"), F.xxhash64(*(F.col(c) for c in facts.columns)).cast("string"))
+        named = named.withColumn(f"_key{i}", F.coalesce(F.nullif(F.col(f"_id{i}"), F.lit("")), lacking))
+        known = by_id.where("id != ''").select(F.col("id").alias(f"_key{i}"), F.col("sequence").alias(f"_s{i}"))
+        named = named.join(known, f"_key{i}", "left").drop(f"_key{i}")
     own = F.when(F.col("_id1").isNull() | (F.col("_s0") == F.col("_s1")), F.col("_s0"))
     named = named.withColumn("_own", own)
     found = attach_if_single(named, by_pair, pair, "sequence")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinolith.operators import metrics
+from kinolith.operators.staging import join_facts
 
 
 def grid(rows: DataFrame, y: Column, predictions: Mapping[str, Column], folds: Mapping[str, str]) -> DataFrame:
@@ -74,10 +75,11 @@ def two_stage(rows: DataFrame, y: str, first: str, second: str, by: Sequence[str
     Gives by, slope, intercept, second_slope, second_intercept, and the weights
     fused_base and fused_first that a last line of y over the sum of both gets.
     """
-    base = rows.groupBy(*by).agg(F.regr_slope(y, first).alias("slope"), F.regr_intercept(y, first).alias("intercept"))
-    with_base = rows.join(F.broadcast(base), list(by)).withColumn("_base", F.col("intercept") + F.col("slope") * F.col(first))  # a row a group
+    sized = rows.groupBy(*by).agg(F.regr_slope(y, first).alias("slope"), F.regr_intercept(y, first).alias("intercept"), F.count("*").alias("_rows"))
+    base, sizes = sized.drop("_rows"), sized.select(*by, "_rows")
+    with_base = join_facts(rows, sized, by, "_rows", "inner").withColumn("_base", F.col("intercept") + F.col("slope") * F.col(first))
     rest = with_base.withColumn("_rest", F.col(y) - F.col("_base"))
     more = rest.groupBy(*by).agg(F.regr_slope("_rest", second).alias("second_slope"), F.regr_intercept("_rest", second).alias("second_intercept"))
-    summed = rest.join(F.broadcast(more), list(by)).withColumn("_sum", F.col("_base") + F.col("second_intercept") + F.col("second_slope") * F.col(second))
+    summed = join_facts(rest, more.join(sizes, list(by)), by, "_rows", "inner").withColumn("_sum", F.col("_base") + F.col("second_intercept") + F.col("second_slope") * F.col(second))
     fused = summed.groupBy(*by).agg(F.regr_slope(y, "_sum").alias("fused_slope"), F.regr_intercept(y, "_sum").alias("fused_intercept"))
     return base.join(more, list(by)).join(fused, list(by))

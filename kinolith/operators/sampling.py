@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinolith.functions import maths
 from kinolith.operators.assembly import dense_rank_over_ranges, rank_in_groups
-from kinolith.operators.staging import settled
+from kinolith.operators.staging import join_facts, settled
 
 
 def hashed(key: Column, seed: int = 42) -> Column:
@@ -58,7 +58,8 @@ def filled_up(rows: DataFrame, group: str, keys: Sequence[str], wanted: DataFram
     ranges, so no group is gathered in one task. Other groups stay as they are.
     """
     ranked = rank_in_groups(rows.withColumn("_h", hashed(F.col(keys[0]))), [group], ["_h", *keys], "_r", "_n")
-    ranked = ranked.join(F.broadcast(wanted), group, "left")  # a row a group, which is a bin or band
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_rows"))
+    ranked = join_facts(ranked, wanted.join(sizes, group), [group], "_rows")
     target = F.greatest(F.col("_n"), F.coalesce("target", F.col("_n")))
     copies = F.floor(target / F.col("_n")) + F.when(F.col("_r") < target % F.col("_n"), 1).otherwise(0)
     return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*rows.columns, "copy")

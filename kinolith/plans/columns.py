@@ -29,12 +29,16 @@ def missing_and_addresses(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.nullish(v).alias("missing"), text.first_address(header).alias("address"))
 
 
-@query("""with t as (select c_custkey, 'C' || case c_custkey % 4 when 0 then 'Cl' when 1 then '%12N' when 2 then 'Br+2' else '[nH]' end || 'O' as smiles from customer)
-select c_custkey, array_to_string(regexp_extract_all(smiles, '%.{0,2}|Br|Cl|[+-][234]|.'), ' ') as tokens from t""")
+_ATOMS_SQL = ", ".join(f"'{a}'" for a in text.ATOMS)
+
+
+@query(f"""with t as (select c_custkey, 'C' || [{_ATOMS_SQL}][1 + c_custkey % {len(text.ATOMS)}] || case c_custkey % 5 when 0 then 'Cln' when 1 then '%12N' when 2 then 'Br+2' when 3 then '[nH]' else 'Sn1-3' end || lower(c_name) as smiles from customer)
+select c_custkey, array_to_string(regexp_extract_all(smiles, '%.{{0,2}}|{'|'.join(text.ATOMS)}|[+-][234]|.'), ' ') as tokens from t""")
 def line_notation_tokens(spark, sf_dir):
     i = F.col("c_custkey")
-    middle = F.when(i % 4 == 0, "Cl").when(i % 4 == 1, "%12N").when(i % 4 == 2, "Br+2").otherwise("[nH]")
-    tokens = text.smiles_tokens(F.concat(F.lit("C"), middle, F.lit("O")))
+    atom = F.element_at(F.array(*map(F.lit, text.ATOMS)), (i % len(text.ATOMS)).cast("int") + 1)
+    middle = F.when(i % 5 == 0, "Cln").when(i % 5 == 1, "%12N").when(i % 5 == 2, "Br+2").when(i % 5 == 3, "[nH]").otherwise("Sn1-3")
+    tokens = text.smiles_tokens(F.concat(F.lit("C"), atom, middle, F.lower("c_name")))
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(tokens, " ").alias("tokens"))
 
 

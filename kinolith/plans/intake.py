@@ -1,11 +1,11 @@
-"""Requests, ids, output tables, job state, selections, experiments and similarity joins."""
+"""Requests, ids, output tables, job state, selections and experiments."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from kinolith.functions import arrays, maths, text
-from kinolith.operators import assembly, curate, experiments, features, metrics, requests, sampling, similarity
+from kinolith.operators import assembly, curate, experiments, features, metrics, requests, sampling
 from kinolith.plans.base import query, table
 from kinolith.streaming import jobs
 
@@ -336,44 +336,6 @@ def tree_stack(spark, sf_dir):
     return features.stacked(rows, "o_custkey", "tree", "value").select("o_custkey", F.array_join("trees", ",").alias("trees"))
 
 
-@query("""with w as (select conv_id * 1000 + turn as id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) as s from conversations where text is not null), s as (select * from w where len(s) > 0)
-select a.id as a, b.id as b, len(list_intersect(a.s, b.s))::int as shared, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 9) as similarity
-from s a join s b on a.id < b.id and len(list_intersect(a.s, b.s)) >= 0.4 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) - 1e-9""")
-def similar_texts(spark, sf_dir):
-    """All pairs at 0.4: links between classes of equal word sets, expanded to their members."""
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return similarity.expanded(rows, "id", similarity.words_of(F.col("text")), 0.4).withColumn("similarity", F.round("similarity", 9))
-
-
-_PAIRS_SQL = """w as (select conv_id * 1000 + turn as id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) as s from conversations), v as (select * from w where len(s) > 0),
-p as materialized (select a.id as a, b.id as b, len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) as sim from v a join v b on a.id < b.id and least(len(a.s), len(b.s)) >= 0.2 * greatest(len(a.s), len(b.s)) where len(list_intersect(a.s, b.s)) >= 0.2 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) - 1e-9)"""
-
-
-def _reach(name: str, least: float) -> str:
-    return f"{name} as (select id, id as label from w union select l.label_of, {name}.label from {name} join (select a as id, b as label_of from p where sim >= {least} union all select b, a from p where sim >= {least}) l on l.id = {name}.id)"
-
-
-@query(f"""with recursive {_PAIRS_SQL}, {_reach('r9', 0.9)}, {_reach('r4', 0.4)}, {_reach('r2', 0.2)},
-n9 as (select id, count(*) as n from r9 group by 1), n4 as (select id, count(*) as n from r4 group by 1), n2 as (select id, count(*) as n from r2 group by 1)
-select id, case when n9.n > 1 then 0.9::double when n4.n > 1 then 0.4::double when n2.n > 1 then 0.2::double else 0.0::double end as band from n9 join n4 using (id) join n2 using (id)""")
-def cluster_bands(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return similarity.banded(rows, "id", similarity.words_of(F.coalesce("text", F.lit(""))), [0.9, 0.4, 0.2])
-
-
-@query(f"""with {_PAIRS_SQL} select id from w where id % 5 <> 0 and id not in (select a from p where sim >= 0.4 - 1e-9 and b % 5 = 0 union all select b from p where sim >= 0.4 - 1e-9 and a % 5 = 0)""")
-def without_similar(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return similarity.without_similar(rows.where("id % 5 != 0"), rows.where("id % 5 = 0"), "id", similarity.words_of(F.col("text")), 0.4).select("id")
-
-
-@query()
-def sequence_search(spark, sf_dir):
-    """Benchmark texts against themselves: 4-mer candidates, alignment identity."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("text"))
-    return similarity.search(items, items, "item_id", "text", 4, 0.2)
-
-
 @query()
 def mixup(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.col("label").cast("double").alias("y"), (F.col("vec_id") % 10).alias("tenth"))
