@@ -207,3 +207,28 @@ def density_grid(rows: DataFrame, x: str, y: str, cells: int = 50) -> DataFrame:
     placed = rows.crossJoin(F.broadcast(ends)).withColumns(cell)  # one row
     counts = placed.groupBy(*cell).agg((F.count("*") / F.max("_n")).alias("density"))
     return placed.join(F.broadcast(counts), list(cell)).select(*rows.columns, *cell, "density")  # cells * cells rows
+
+
+#: A kernel is cut off after so many deviations; beyond them it is under 0.0004 of its top.
+KERNEL_REACH = 4.0
+
+
+def kernel_density(cells: DataFrame, x: str, y: str, n: str, deviation_x: float, deviation_y: float) -> DataFrame:
+    """x, y and density of the cells of a grid: a Gaussian kernel over the rows of all cells, in rows per cell.
+
+    cells has integer x and y, and n, how many rows a cell holds; deviations are
+    in cells. The kernel is a product, so a pass along x and one along y do, of
+    2 * KERNEL_REACH deviations each, and sums shrink before they are shuffled.
+    Against the direct sum over rows, placing a row at its cell's middle is off
+    by at most 0.61 / deviation of the top in each direction, and cutting the
+    kernel by 0.0004 of it a row. Cells out of every row's reach are left out.
+    """
+
+    def along(rows: DataFrame, axis: str, value: str, deviation: float) -> DataFrame:
+        reach = int(KERNEL_REACH * deviation)
+        off = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+        weight = F.exp(-0.5 * (F.col("_off") / F.lit(deviation)) ** 2) / (deviation * (2 * 3.141592653589793) ** 0.5)
+        spread = rows.withColumn("_off", off).withColumns({"_w": F.col(value) * weight, axis: F.col(axis) + F.col("_off")})
+        return spread.groupBy(x, y).agg(F.sum("_w").alias("density"))
+
+    return along(along(cells.select(x, y, n), x, n, deviation_x), y, "density", deviation_y)

@@ -33,6 +33,30 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     return best.select("one.id", "one.seq", "sha256", "one.len", "uses_count", "one.first_position")
 
 
+USAGE = "sha256 string, seq string, uses_count long, first_at timestamp, last_at timestamp"
+
+
+def usage_of(rows: DataFrame, text: str, at: str) -> DataFrame:
+    """USAGE rows: how often each non-blank text is used, and when first and last."""
+    used = rows.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").groupBy(F.col(text).alias("seq"))
+    counts = used.agg(F.count("*").alias("uses_count"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
+    return counts.select(F.sha2("seq", 256).alias("sha256"), "seq", "uses_count", "first_at", "last_at")
+
+
+def from_usage(usage: DataFrame) -> DataFrame:
+    """id, seq, sha256, len, uses_count, first_at, last_at of each text from increments of any number of batches and writers.
+
+    Ids are as in register(): they follow first use, so that they stay as more is added.
+    """
+    one = usage.groupBy("sha256").agg(
+        F.min("seq").alias("seq"), F.sum("uses_count").alias("uses_count"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")
+    )
+    one = one.withColumn("_base", F.substring("sha256", 1, 12))
+    at_base = F.row_number().over(Window.partitionBy("_base").orderBy("first_at", "sha256")) - 1  # collisions only
+    name = F.when(at_base > 0, F.concat_ws("_", "_base", at_base.cast("string"))).otherwise(F.col("_base"))
+    return one.select(name.alias("id"), "seq", "sha256", F.length("seq").alias("len"), "uses_count", "first_at", "last_at")
+
+
 def totals(registry: DataFrame) -> DataFrame:
     """Rows, uses, never-used rows and their share."""
     one = registry.agg(

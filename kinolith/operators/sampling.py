@@ -22,6 +22,56 @@ def folds(rows: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     return rows.withColumn("fold", (hashed(F.col(key), seed) % k).cast("int"))
 
 
+def fold_plan(sizes: Sequence[tuple[int, int]], k: int) -> dict[int, list[tuple[int, list[int]]]]:
+    """For each size of (size, number of groups), largest first: (first rank, folds in turn) of each stretch of ranks.
+
+    Greedy: the next group goes to the fold with the fewest rows, the lower one
+    of equals. Groups of one size fill the folds in turns between the points
+    where another fold comes level, so a size has at most k stretches, however
+    many groups it has.
+    """
+    load = [0] * k
+    plan: dict[int, list[tuple[int, list[int]]]] = {}
+    for size, groups in sorted(sizes, reverse=True):
+        done, stretches = 0, []
+        for active in range(1, k + 1):
+            order = sorted(range(k), key=lambda f: (load[f], f))
+            turns = order[:active]
+            room = groups - done
+            if active < k:
+                edge = (load[order[active]], order[active])
+                # how often each fold can still come before the next one's place
+                fits = [-(-(edge[0] - load[f]) // size) + (load[f] + -(-(edge[0] - load[f]) // size) * size == edge[0] and f < edge[1]) for f in turns]
+                room = min(room, sum(fits))
+            if room > 0:
+                stretches.append((done, turns))
+                for i, f in enumerate(turns):
+                    load[f] += size * (room // active + (i < room % active))
+                done += room
+        plan[size] = stretches
+    return plan
+
+
+def balanced_folds(rows: DataFrame, group: str, k: int = 5) -> DataFrame:
+    """rows with fold 0..k-1, the rows of a group together, folds as even as greedy filling makes them.
+
+    The largest group first, equal ones in order of their keys, each to the fold
+    with the fewest rows so far, the lower one of equals. Only the histogram of
+    group sizes goes to the driver, which has fewer rows than the root of twice
+    the table's. Rows without a group are a group.
+    """
+    sizes = settled(rows.groupBy(group).agg(F.count("*").alias("_held")))
+    counted = [(r["_held"], r["n"]) for r in sizes.groupBy("_held").agg(F.count("*").alias("n")).collect()]
+    stretches = [(size, start, turns) for size, parts in fold_plan(counted, k).items() for start, turns in parts]
+    plan = rows.sparkSession.createDataFrame(stretches, "_held long, start long, turns array<int>")
+    plan = plan.groupBy("_held").agg(F.array_sort(F.collect_list(F.struct("start", "turns"))).alias("parts"))
+    ranked = rank_in_groups(sizes, ["_held"], [group], "_rank").join(F.broadcast(plan), "_held")  # a row a size
+    part = F.element_at(F.filter("parts", lambda p: p["start"] <= F.col("_rank")), -1)
+    ranked = ranked.withColumn("_part", part)
+    fold = F.get("_part.turns", ((F.col("_rank") - F.col("_part.start")) % F.size("_part.turns")).cast("int"))
+    return join_facts(rows, ranked.select(group, fold.alias("fold"), F.col("_held").alias("_rows")), [group], "_rows")
+
+
 def split_tags(rows: DataFrame, key: str, train: float = 0.8, dev: float = 0.1, seed: int = 1234) -> DataFrame:
     """rows with part 0 (train), 1 (dev) or 2 (test) by shares of the hash range."""
     share = hashed(F.col(key), seed) / 999_983

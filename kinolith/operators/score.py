@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,27 @@ def scored(rows: DataFrame, scorer: Scorer, cache: DataFrame | None = None) -> D
     return rows.join(fresh, keys, "left")
 
 
+#: Rows of a model's call. Fixed value.
+BATCH_ROWS = 256
+
+
+def predicted(rows: DataFrame, columns: Sequence[str], load: Callable[[], Callable[..., object]], name: str = "prediction", batch: int = BATCH_ROWS) -> DataFrame:
+    """rows with a model's value from number columns, in calls of `batch` rows at most.
+
+    load() gives a function from numpy arrays to an array of values; a worker
+    calls it once and keeps it. Rows with a null column get null and are not
+    asked for.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull()
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
+    model = predict_batch_udf(load, return_type=DoubleType(), batch_size=batch)
+    return rows.withColumn(name, F.when(whole, model(*filled)))
+
+
 class Named:
     """Things by name, with an error that lists the names: vectorisers (column to column) and reference tables."""
 

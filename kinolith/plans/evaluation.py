@@ -70,12 +70,12 @@ def metrics_by_subset(spark, sf_dir):
 @query("""with v as (select label::double as y, list_sort(list_transform(embedding, lambda x: x::double)) as s, list_avg(list_transform(embedding, lambda x: x::double)) as c, list_stddev_pop(list_transform(embedding, lambda x: x::double)) as sd from embeddings),
 i as (select y, c, sd, s[1 + floor((len(s) - 1) * 0.05)::int] + ((len(s) - 1) * 0.05 - floor((len(s) - 1) * 0.05)) * (s[1 + ceil((len(s) - 1) * 0.05)::int] - s[1 + floor((len(s) - 1) * 0.05)::int]) as lo,
  s[1 + floor((len(s) - 1) * 0.95)::int] + ((len(s) - 1) * 0.95 - floor((len(s) - 1) * 0.95)) * (s[1 + ceil((len(s) - 1) * 0.95)::int] - s[1 + floor((len(s) - 1) * 0.95)::int]) as hi from v)
-select count(*) as n, round(avg((y between lo and hi)::int::double), 6) as coverage, round(avg((y < lo)::int::double), 6) as under, round(avg((y > hi)::int::double), 6) as over, round(avg(hi - lo), 5) as width, round(avg(abs(y - c)), 5) as mae,
-round(avg(hi - lo + (greatest(lo - y, 0) + greatest(y - hi, 0)) * 20), 4) as winkler from i""")
+select count(*) as n, round(avg((y between lo and hi)::int::double), 6) as coverage, round(avg((y < lo)::int::double), 6) as under, round(avg((y > hi)::int::double), 6) as over, round(avg(hi - lo), 5) as width, round(avg(abs(y - c)), 5) as mae, round(avg((y between lo and hi)::int::double) - 0.9, 6) as gap, round(corr(sd, abs(y - c)), 5) as spread_error_corr,
+round(quantile_cont(hi - lo, 0.1), 5) as width_p10, round(quantile_cont(hi - lo, 0.5), 5) as width_median, round(quantile_cont(hi - lo, 0.9), 5) as width_p90, round(avg(hi - lo + (greatest(lo - y, 0) + greatest(y - hi, 0)) * 20), 4) as winkler from i""")
 def interval_eval(spark, sf_dir):
     rows = metrics.intervals(table(spark, sf_dir, "embeddings").withColumn("y", F.col("label").cast("double")), "embedding", 0.1)
     found = metrics.interval_quality(rows, "y", 0.1)
-    return found.select("n", *[F.round(c, 6).alias(c) for c in ("coverage", "under", "over")], F.round("width", 5).alias("width"), F.round("mae", 5).alias("mae"), F.round("winkler", 4).alias("winkler"))
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("coverage", "under", "over")], F.round("width", 5).alias("width"), F.round("mae", 5).alias("mae"), F.round("winkler", 4).alias("winkler"), F.round("gap", 6).alias("gap"), *[F.round(c, 5).alias(c) for c in ("spread_error_corr", "width_p10", "width_median", "width_p90")])
 
 
 @query("""with r as (select o_orderstatus as g, rank() over (order by o_totalprice) + (count(*) over (partition by o_totalprice) - 1) / 2.0 as r from orders where o_orderstatus in ('F', 'O')),

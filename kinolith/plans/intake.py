@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinolith.functions import arrays, maths, text
-from kinolith.operators import assembly, curate, experiments, features, metrics, requests, sampling
+from kinolith.operators import assembly, curate, experiments, features, metrics, requests, sampling, score
 from kinolith.plans.base import query, table
 from kinolith.streaming import jobs
 
@@ -346,3 +346,32 @@ def mixup(spark, sf_dir):
 def reduced_vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").where("size(embedding) = 64").select("vec_id", "embedding")
     return features.reduced(rows, "vec_id", "embedding", 8)[0]
+
+
+@query("""with recursive g as (select o_custkey, count(*) as n from orders group by 1), o as (select *, row_number() over (order by n desc, o_custkey) as r from g),
+w as (select 0::bigint as r, 0 as fold, [0, 0, 0, 0, 0]::bigint[] as load union all
+ select o.r, list_position(load, list_min(load)) - 1, list_transform(load, lambda x, i: x + case when i = list_position(load, list_min(load)) then o.n else 0 end) from w join o on o.r = w.r + 1)
+select o_orderkey, o_custkey, fold::int as fold from orders join o using (o_custkey) join w using (r)""")
+def group_folds(spark, sf_dir):
+    return sampling.balanced_folds(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
+
+
+@query("""with c as (select l_quantity::int as x, floor(l_extendedprice / 4000)::int as y, count(*) as n from lineitem group by 1, 2),
+a as (select x + i as x, y, sum(n * exp(-0.5 * (i / 2.0) * (i / 2.0)) / (2.0 * sqrt(2 * pi()))) as d from c, (select unnest(range(-8, 9)) as i) group by 1, 2)
+select x::int as x, (y + i)::int as y, round(sum(d * exp(-0.5 * (i / 1.5) * (i / 1.5)) / (1.5 * sqrt(2 * pi()))), 6) as density from a, (select unnest(range(-6, 7)) as i) group by 1, 2""")
+def density_kernel(spark, sf_dir):
+    """Rows per cell of quantity and price by a Gaussian kernel."""
+    cells = table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").cast("int").alias("x"), F.floor(F.col("l_extendedprice") / 4000).cast("int").alias("y")).agg(F.count("*").alias("n"))
+    return metrics.kernel_density(cells, "x", "y", "n", 2.0, 1.5).withColumn("density", F.round("density", 6))
+
+
+def _linear():
+    """A fixed line over quantity, discount and tax."""
+    return lambda quantity, discount, tax: 1500 * quantity - 200 * discount + 64 * tax + 8
+
+
+@query("""select l_orderkey, l_linenumber, round(1500 * l_quantity - 200 * l_discount + 64 * l_tax + 8, 6) as prediction from lineitem""")
+def batch_inference(spark, sf_dir):
+    """A model's value for every row, in calls of 256 rows."""
+    rows = score.predicted(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], _linear)
+    return rows.select("l_orderkey", "l_linenumber", F.round("prediction", 6).alias("prediction"))
