@@ -69,15 +69,25 @@ def rank_in_groups(rows: DataFrame, groups: Sequence[str], order: Sequence[str],
     return joined.select(*rows.columns, (F.col("_number") - F.col("_first")).alias(name), *([F.col("_size").alias(size)] if size else []))
 
 
+#: Distinct values of all groups up to which one task a group may hold its counts.
+FEW_VALUES = 1_000_000
+
+
 def quantiles(rows: DataFrame, groups: Sequence[str], value: str, shares: Mapping[str, float], size: str | None = None) -> DataFrame:
     """One row per group with its exact quantiles, interpolated linearly, under the names of shares; nulls are left out.
 
     size names a column for how many values a group has.
 
-    From counts per distinct value and their running total, so no group is ever
-    held in one task. Without groups it is one row for the whole table.
+    From counts per distinct value, which are written down. While there are
+    FEW_VALUES of them at most, a group's counts fit into a task; beyond that
+    their running total over ranges tells the same, and no group is ever held in
+    one task. Without groups it is one row for the whole table.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    counts = settled(rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count("*").alias("_k")))
+    if counts.count() <= FEW_VALUES:
+        at = F.percentile("_v", F.array(*[F.lit(float(s)) for s in shares.values()]), F.col("_k"))
+        few = counts.groupBy(*groups).agg(at.alias("_q"), F.sum("_k").alias("_n"))
+        return few.select(*groups, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(shares)], *([F.col("_n").alias(size)] if size else []))
     up = running_total(counts, [*groups, "_v"], F.col("_k"), "_all")
     ends = up.groupBy(*groups).agg(F.min(F.col("_all") - F.col("_k")).alias("_first"), F.sum("_k").alias("_n"), F.count("*").alias("_rows"))
     if groups:

@@ -340,3 +340,58 @@ def test_named_things():
 def test_walk_never_leaves_its_budget(deltas):
     accepted, after, used = quota.walk([d - 2 for d in deltas], 6)
     assert all(0 <= u <= 6 for u in after) and used == after[-1] and len(accepted) == len(deltas)
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_quantiles_by_counts_and_by_ranges(spark, monkeypatch, few):
+    """Both ways give numpy's quantiles, with null groups and null values."""
+    monkeypatch.setattr(assembly, "FEW_VALUES", few)
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(20)])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    found = {r["g"]: (r["low"], r["mid"], r["n"]) for r in assembly.quantiles(df, ["g"], "v", {"low": 0.1, "mid": 0.5}, "n").collect()}
+    for g in ("a", "b", None):
+        own = [v for h, v in rows if h == g and v is not None]
+        assert found[g] == (pytest.approx(np.quantile(own, 0.1)), pytest.approx(np.quantile(own, 0.5)), len(own))
+    whole = assembly.quantiles(df, [], "v", {"mid": 0.5}).first()["mid"]
+    assert whole == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.5))
+
+
+def test_tables_that_cannot_be_read_are_refunded(spark, tmp_path):
+    from kinolith.streaming import jobs
+
+    good, bad = tmp_path / "good.csv", tmp_path / "bad.csv"
+    good.write_text("a,b\n1,2\n3,4\n")
+    bad.write_text("a,b\n1,2\nx,4\n")
+    read = lambda path: lambda: spark.read.option("mode", "FAILFAST").option("header", True).schema("a int, b int").csv(str(path))
+    table, refund = jobs.read_or_refund(read(good), "1.2.3.4", 2)
+    assert table.count() == 2 and refund is None
+    assert jobs.read_or_refund(read(bad), "1.2.3.4", 2) == (None, ("1.2.3.4", 2))  # the line is not the first
+    assert jobs.read_or_refund(read(tmp_path / "none.csv"), "1.2.3.4", 2) == (None, ("1.2.3.4", 2))
+    with pytest.raises(ZeroDivisionError):
+        jobs.read_or_refund(lambda: 1 / 0, "1.2.3.4", 2)
+
+
+def test_memory_words_count_anywhere(spark):
+    from kinolith.streaming import jobs
+
+    rows = [(1, 1, "invalid parameter"), (2, -9, None), (3, 1, "bad value"), (4, 0, None), (5, 137, "x"), (6, 1, "Out of Memory")]
+    df = spark.createDataFrame(rows, "id int, code int, message string")
+    found = {r["id"]: r["c"] for r in df.select("id", jobs.failure_class(F.col("code"), F.col("message")).alias("c")).collect()}
+    assert found == {1: "memory", 2: "memory", 3: "failed", 4: None, 5: "memory", 6: "memory"}
+
+
+def test_hot_keys_are_joined_apart(spark):
+    """A key with most rows, null keys and rare ones: the same rows as a plain join, and no task with all of the hot key."""
+    from kinolith.operators.staging import join_facts
+
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, F.lit(-1)).when(F.col("id") % 9 == 0, None).otherwise(F.col("id") % 400).alias("k"), "id")
+    facts = rows.groupBy("k").agg(F.count("*").alias("size"), F.max("id").alias("top"))
+    found = join_facts(rows.repartition(8), facts, ["k"], "size")
+    assert found.columns == ["k", "id", "top"] and found.count() == 20_000
+    want = {r["k"]: r["top"] for r in facts.collect()}
+    assert all(want[r["k"]] == r["top"] for r in found.collect())
+    most = found.where("k = -1").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 4_000
+    none = join_facts(rows, facts.where("k = 7"), ["k"], "size", "inner")
+    assert {r["k"] for r in none.collect()} <= {7}
