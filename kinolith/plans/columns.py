@@ -63,10 +63,10 @@ def growing_dictionary(spark, sf_dir):
     return features.growing_dictionary(table(spark, sf_dir, "part"), "p_partkey", F.split("p_name", " ")).select("token", "id")
 
 
-@query("""with e as (select vec_id, list_transform(embedding[1:8], lambda x: exp(x::double / 15)) as p, embedding[1:8] as v from embeddings)
+@query("""with e as (select vec_id, list_transform(embedding, lambda x: exp(x::double / 15)) as p, embedding as v from embeddings)
 select vec_id, array_to_string(list_transform(p, lambda x: round(x / list_sum(p) * 1e6)::int), ',') as shares, array_to_string(list_transform(v, lambda x: round(round(x::double / list_max(v)::double, 4) * 1e4)::int), ',') as profile from e""")
 def logits_and_profiles(spark, sf_dir):
-    v = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
     whole = lambda a, by: F.array_join(F.transform(a, lambda x: F.round(x * by).cast("int")), ",")
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", whole(arrays.softmax(v), 1e6).alias("shares"), whole(arrays.scaled_by_maximum(v), 1e4).alias("profile")
@@ -88,12 +88,13 @@ def fingerprint_similarity(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(arrays.tanimoto(a, b), 9).alias("similarity"))
 
 
-@query("""with v as (select vec_id, embedding[1:4] as a, embedding[5:8] as b, abs(embedding[9]::double) + 0.1 as u, abs(embedding[10]::double) + 0.1 as w from embeddings)
-select vec_id, array_to_string(list_transform(range(1, 5), lambda i: round((a[i]::double * u + b[i]::double * w) / (u + w) * 1e5)::int), ',') as pooled from v""")
+@query("""with v as (select vec_id, embedding[1:31] as a, embedding[32:62] as b, abs(embedding[63]::double) + 0.1 as u, abs(embedding[64]::double) + 0.1 as w from embeddings)
+select vec_id, array_to_string(list_transform(range(1, 32), lambda i: round((a[i]::double * u + b[i]::double * w) / (u + w) * 1e5)::int), ',') as pooled from v""")
 def weighted_pooling(spark, sf_dir):
+    """Two halves of a vector, weighted by its last two components."""
     v = F.col("embedding")
-    weights = F.array(*[F.abs(F.get(v, F.lit(i)).cast("double")) + 0.1 for i in (8, 9)])
-    mean = arrays.weighted_mean(F.array(F.slice(v, 1, 4), F.slice(v, 5, 4)), weights)
+    weights = F.array(*[F.abs(F.get(v, F.lit(i)).cast("double")) + 0.1 for i in (62, 63)])
+    mean = arrays.weighted_mean(F.array(F.slice(v, 1, 31), F.slice(v, 32, 31)), weights)
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(mean, lambda x: F.round(x * 1e5).cast("int")), ",").alias("pooled"))
 
 

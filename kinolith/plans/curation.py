@@ -94,12 +94,12 @@ def anti_cache(spark, sf_dir):
     return assembly.misses(docs, table(spark, sf_dir, "labels"), ["doc_id"])
 
 
-@query("""with t as (select distinct user_id, event_type from events where event_id % 10 < 8), r as (select event_id, user_id, event_type || '/' || json_extract_string(props, '$.k') as kind, event_id % 10 < 8 as train from events)
-select event_id, user_id, kind from r where not train and (user_id not in (select user_id from r where train) or kind not in (select kind from r where train))""")
+@query("""with r as (select l_orderkey, l_linenumber, l_partkey, l_suppkey || '/' || l_quantity::int as kind, l_orderkey % 10 < 3 as train from lineitem)
+select l_orderkey, l_linenumber, l_partkey, kind from r where not train and (l_partkey not in (select l_partkey from r where train) or kind not in (select kind from r where train))""")
 def unseen_pairs(spark, sf_dir):
-    kind = F.concat_ws("/", "event_type", F.get_json_object("props", "$.k"))
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", kind.alias("kind"))
-    return assembly.unseen(rows.where("event_id % 10 >= 8"), rows.where("event_id % 10 < 8"), ["user_id", "kind"])
+    kind = F.concat_ws("/", "l_suppkey", F.col("l_quantity").cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", kind.alias("kind"))
+    return assembly.unseen(rows.where("l_orderkey % 10 >= 3"), rows.where("l_orderkey % 10 < 3"), ["l_partkey", "kind"])
 
 
 @query("""select 'both' as part, count(*) as n from (select text from documents intersect select text from benchmark)

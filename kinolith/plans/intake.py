@@ -137,10 +137,10 @@ def chosen_groups(spark, sf_dir):
     return found.withColumn("spread", F.round("spread", 4))
 
 
-@query("""with g as (select l_suppkey, l_returnflag, count(distinct l_quantity) as distinct_values from lineitem group by all having count(distinct l_quantity) between 2 and 20) select * from g order by distinct_values desc, l_suppkey, l_returnflag limit 3""")
+@query("""with g as (select l_partkey, l_returnflag, count(distinct l_quantity) as distinct_values from lineitem group by all having count(distinct l_quantity) between 2 and 20) select * from g order by distinct_values desc, l_partkey, l_returnflag limit 3""")
 def groups_of_few_values(spark, sf_dir):
-    counts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.countDistinct("l_quantity").alias("distinct_values"))
-    return counts.where("distinct_values between 2 and 20").orderBy(F.desc("distinct_values"), "l_suppkey", "l_returnflag").limit(3)
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.countDistinct("l_quantity").alias("distinct_values"))
+    return counts.where("distinct_values between 2 and 20").orderBy(F.desc("distinct_values"), "l_partkey", "l_returnflag").limit(3)
 
 
 @query("select p_name, count(*) as n from part group by 1 having count(*) > 1 order by n desc, p_name limit 30")
@@ -344,7 +344,7 @@ def mixup(spark, sf_dir):
 
 @query()
 def reduced_vectors(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").where("size(embedding) = 64").select("vec_id", "embedding")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return features.reduced(rows, "vec_id", "embedding", 8)[0]
 
 

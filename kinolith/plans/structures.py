@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinolith.functions import arrays
-from kinolith.operators import line_notation
+from kinolith.operators import line_notation, score
 from kinolith.plans.base import query, table
 
 _LETTERS, _ATOMS = "abcdefghijklmnopqrstuvwxyz", "CNCSCOCCCCCNCOCCCCSCCCCCCO"
@@ -47,7 +47,29 @@ def structures_written_anew(spark, sf_dir):
 @query()
 def circular_fingerprints(spark, sf_dir):
     """Bits of each structure, and how like the first part's structure it is."""
-    bits = line_notation.fingerprint(F.col("molecule"))
+    bits = score.VECTORISERS.get("circular")(F.col("molecule"))
     rows = line_notation.parsed(notations(spark, sf_dir), "smiles").where("molecule is not null").select("id", bits.alias("bits"))
     first = rows.agg(F.min(F.struct("id", "bits")).alias("f")).select(F.col("f.bits").alias("first"))
     return rows.crossJoin(F.broadcast(first)).select("id", F.array_join("bits", ",").alias("bits"), arrays.tanimoto(F.col("bits"), F.col("first")).alias("similarity"))  # one row
+
+
+@query(f"""with {_NOTATIONS_SQL} select id, case when broken then 'unreadable' when id % 11 = 0 then 'empty' end as structure_error, case when id % 11 = 0 or broken then 'invalid' when id % 5 = 0 then 'KEGG' else 'SMILES' end as kind, not broken and id % 11 <> 0 and id % 5 <> 0 as has_text from n""")
+def structure_checks(spark, sf_dir):
+    """Why a text is no structure, and what kind of metabolite it is."""
+    key = F.col("id")
+    rows = notations(spark, sf_dir).withColumn("smiles", F.when((key % 11 == 0) & (key % 7 != 0), " ").otherwise(F.col("smiles")))
+    rows = line_notation.checked(rows, "smiles").withColumn("met", F.when((key % 5 == 0) & (key % 11 != 0) & (key % 7 != 0), F.concat(F.lit("C"), F.right(F.concat(F.lit("0000"), key.cast("string")), F.lit(5)))).otherwise(F.col("smiles")))
+    found = line_notation.metabolites(rows, "met")
+    return found.select("id", "structure_error", "kind", (F.col("canonical").isNotNull() & (F.col("kind") == "SMILES")).alias("has_text"))
+
+
+@query(f"""with {_NOTATIONS_SQL}, k as (select id, broken, id // 2 as pair, x || '|' || least(y || 'CC', reverse(y || 'CC')) as k from n),
+r as (select a.id, case when not a.broken and not coalesce(b.broken, true) then least(a.k, b.k) || '.' || greatest(a.k, b.k) end as left_side, case when not a.broken then a.k end as k from k a left join k b on b.id = a.id + 1)
+select min(id) as first, count(*) as n, bool_or(left_side is not null) as read from r group by left_side""")
+def reaction_classes(spark, sf_dir):
+    """Two parts that give the first of them: rows with one reaction, in whatever order and way its sides are written."""
+    rows = notations(spark, sf_dir)
+    other = rows.select((F.col("id") - 1).alias("id"), F.col("smiles").alias("next"))
+    both = rows.join(other, "id", "left").select("id", F.when(F.col("id") % 2 == 0, F.array("smiles", "next")).otherwise(F.array("next", "smiles")).alias("a"), F.array(F.lit("O")).alias("b"))
+    found = line_notation.reactions(both, "a", "b")
+    return found.groupBy("reaction").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.col("reaction").isNotNull().alias("read")).select("first", "n", "read")
