@@ -359,7 +359,12 @@ def packet_table(media: DataFrame, key: str = "doc_id", column: str = "media") -
 
 
 def digests(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Read each file of store() back: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    """Read each file of store() back: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+
+    A null file has nulls for all that would be read from it. Rows are taken one
+    by one, each with memory for itself, very long ones too; repeated rows give
+    equal values and an empty table gives no rows.
+    """
 
     def read(batches):
         import pyarrow as pa
@@ -367,6 +372,9 @@ def digests(media: DataFrame, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             rows = []
             for data in batch.column(batch.schema.get_field_index("media")).to_pylist():
+                if data is None:
+                    rows.append((None,) * 6)
+                    continue
                 found = read_file(data)
                 payload = payload_of(data, found["packets"])
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), features(found)))

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from kinolith.llm.shared import utf8_rows
 
 MARK = "▁"
+#: Texts that a model's normaliser must leave as they are but for the marker: what would be joined, folded, trimmed or dropped.
+PROBES = ("a", "a  b", " a", "a ", "\t", "\ufb01", "\uff21", "e\u0301", "\u3000", "\u00bd", "\u200bx", "\x01", "\u0130")
 CACHE = 300_000
 LONGEST_CACHED = 48
 UNKNOWN_PENALTY = 10_000_000
@@ -99,6 +101,9 @@ class Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        for probe in PROBES:
+            if model.normalize(probe) != MARK + probe.replace(" ", MARK):
+                raise ValueError(f"the model's normaliser changes {probe!r}, which this encoder would not")
         size = model.get_piece_size()
         normal = [
             i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
@@ -230,8 +235,12 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
 
     ids are little-endian, of 16 bits if the vocabulary fits; ids_crc32 is over
     them as 32-bit. n_fallback counts byte pieces. A null or empty text has no
-    pieces. Rows are neither joined nor grouped. model is the path of a model
-    file that each executor has.
+    pieces, an empty table gives no rows. Rows are neither joined nor grouped,
+    so repeated rows get equal ids; of equally good paths the one whose last
+    piece begins first wins. Very long texts are encoded whole, word by word; a
+    word without white space takes memory for itself. model is the path of a
+    model file that each executor has; one whose normaliser changes texts is
+    refused, as this encoder has none.
     """
 
     def run(batches):
@@ -261,7 +270,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", into: str = "text") -> DataFrame:
-    """The rows of encoded with the text that their packed ids stand for; null ids give a null text."""
+    """The rows of encoded with the text that their packed ids stand for; null ids give a null text, none an empty one."""
 
     def run(batches):
         import pyarrow as pa

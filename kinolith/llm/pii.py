@@ -273,9 +273,13 @@ def find(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) ->
 
     Positions are code points, ends exclusive. Base kinds are email, ip, card
     and phone; found also has what the trees chose. A null text has no spans
-    and stays null. Whole texts are searched; rows are neither joined nor
-    grouped, so repeated rows and hot sources cost nothing extra. Other columns
-    are ignored.
+    and stays null, an empty one has none, an empty table gives no rows. Whole
+    texts are searched, very long ones too, with memory for themselves; rows are
+    neither joined nor grouped, so repeated rows and hot sources cost nothing
+    extra. Candidates that overlap a base span are left out; of those that
+    overlap each other the likeliest stays, the earlier of equals. Written
+    addresses are looked for with up to 64 characters before and six parts
+    behind the sign. Other columns are ignored.
     """
     model = trained()  # a few kilobytes
 
@@ -305,7 +309,11 @@ def find(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) ->
 
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs with the text's personal data replaced by its kind in brackets; all columns stay."""
+    """The rows of docs with the text's personal data replaced by its kind in brackets; all columns stay.
+
+    Null and empty texts stay as they are, an empty table is one; very long
+    texts are taken whole, repeated rows alike. Overlaps are settled as in find().
+    """
     model = trained()
 
     def clean(batch):
