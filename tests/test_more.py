@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from kinolith.functions import text
 from kinolith.operators import assembly, curate, features, metrics, requests, sampling, score, similarity, validate
@@ -395,3 +396,31 @@ def test_hot_keys_are_joined_apart(spark):
     assert most < 4_000
     none = join_facts(rows, facts.where("k = 7"), ["k"], "size", "inner")
     assert {r["k"] for r in none.collect()} <= {7}
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    """A node with most edges, and labels that nearly all nodes come to have."""
+    star = [(0, i) for i in range(1, 3000)]
+    chain = [(i, i + 1) for i in range(5000, 5040)]
+    edges = spark.createDataFrame(star + chain, "a long, b long")
+    nodes = spark.range(5100).where("id < 3000 or id >= 5000")
+    found = {r["id"]: r["label"] for r in similarity.connected(edges, nodes).collect()}
+    assert found == {i: 0 if i < 3000 else 5000 if i <= 5040 else i for i in (*range(3000), *range(5000, 5100))}
+
+
+def test_no_task_gets_a_frequent_token(spark, monkeypatch):
+    """A token that all sets have: its list meets in blocks, each two of which are a key of their own."""
+    monkeypatch.setattr(similarity, "LIST_BLOCK", 50)
+    rows = spark.range(400).select("id", F.array(F.lit("all"), F.concat(F.lit("t"), F.col("id").cast("string"))).alias("s"))
+    seen = []
+    joined = DataFrame.join
+
+    def spy(self, other, on=None, how=None):
+        if isinstance(on, list) and len(on) == 3 and how is None:
+            sizes = lambda side, name: side.groupBy(f"{name}.token", f"{name}.xb", f"{name}.yb").count().agg(F.max("count")).first()[0]
+            seen.append((sizes(self, "x"), sizes(other, "y")))
+        return joined(self, other, on, how)
+
+    monkeypatch.setattr(DataFrame, "join", spy)
+    assert similarity.similar_pairs(rows, "id", F.col("s"), 0.3).count() == 400 * 399 // 2
+    assert seen and max(max(s) for s in seen) < 100
