@@ -191,7 +191,7 @@ def enough_letters(text: bytes) -> bool:
     """Whether the distinct words of a text have LEAST_LETTERS bytes; looks no further than it must."""
     seen: set[bytes] = set()
     size = 0
-    for part in segments(text, 1 << 12):
+    for part in segments(text, 64):  # a few words are enough as a rule
         for word in letters(part):
             if word not in seen:
                 seen.add(word)
