@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 _OWN_FOLDER: dict[str, str] = {}
 #: At most so many keys can each have more than this part of all rows.
 HOT_KEYS = 1000
+#: Facts that are broadcast whole; their number is counted.
+SENT_ROWS = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,20 +39,22 @@ def settled(df: DataFrame, folder: str | None = None) -> DataFrame:
 def join_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], size: str, how: str = "left") -> DataFrame:
     """rows with the columns of facts, which has one row per key and in size about how many rows have that key.
 
-    Keys that hold more than a thousandth of all rows, a thousand at most, are
-    broadcast, so that no task gets all rows of one key; the others are joined
-    as usual. Null keys equal each other. size itself is dropped; how is left
-    or inner.
+    Up to SENT_ROWS facts are broadcast. Of more, keys that hold more than a
+    thousandth of all rows, a thousand at most, are, so that no task gets all
+    rows of one key; the others are joined as usual. Null keys equal each
+    other. size itself is dropped; how is left or inner.
     """
     facts = settled(facts)
-    total = facts.agg(F.sum(size)).first()[0] or 0
+    many, total = facts.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     own = [f"_k{i}" for i in range(len(keys))]
     more = [c for c in facts.columns if c not in (*keys, size)]
     named = facts.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], *more, size)
-    is_hot = F.col(size) > max(1, total // HOT_KEYS)
-    hot, cold = named.where(is_hot).drop(size), named.where(~is_hot).drop(size)
     same = lambda: [rows[k].eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)]
     columns = [*(rows[c] for c in rows.columns), *more]
+    if many <= SENT_ROWS:
+        return rows.join(F.broadcast(named.drop(size)), same(), how).select(*columns)
+    is_hot = F.col(size) > max(1, total // HOT_KEYS)
+    hot, cold = named.where(is_hot).drop(size), named.where(~is_hot).drop(size)
     often = rows.join(F.broadcast(hot), same()).select(*columns)
     rest = rows.join(F.broadcast(hot.select(*own)), same(), "left_anti").join(cold, same(), how).select(*columns)
     return often.union(rest)

@@ -382,10 +382,14 @@ def test_memory_words_count_anywhere(spark):
     assert found == {1: "memory", 2: "memory", 3: "failed", 4: None, 5: "memory", 6: "memory"}
 
 
-def test_hot_keys_are_joined_apart(spark):
+@pytest.mark.parametrize("sent", [0, 10_000])
+def test_hot_keys_are_joined_apart(spark, monkeypatch, sent):
     """A key with most rows, null keys and rare ones: the same rows as a plain join, and no task with all of the hot key."""
+    from kinolith.operators import staging
     from kinolith.operators.staging import join_facts
 
+    monkeypatch.setattr(staging, "SENT_ROWS", sent)
+
     rows = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, F.lit(-1)).when(F.col("id") % 9 == 0, None).otherwise(F.col("id") % 400).alias("k"), "id")
     facts = rows.groupBy("k").agg(F.count("*").alias("size"), F.max("id").alias("top"))
     found = join_facts(rows.repartition(8), facts, ["k"], "size")
