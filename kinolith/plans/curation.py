@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinolith.functions import arrays, maths, text
 from kinolith.operators import assembly, curate, registry, validate
-from kinolith.plans.base import query, table
+from kinolith.plans.base import placed_table, query, table
 
 
 @query("""select l_partkey, l_suppkey, max(l_extendedprice) as l_extendedprice, arg_min(l_linestatus, (-l_extendedprice, l_linestatus)) as l_linestatus
@@ -56,8 +56,8 @@ def conditional_attach(spark, sf_dir):
 select p_partkey, coalesce(fact, p_retailprice) as price, case when fact is not null then 'experiment' when p_retailprice is not null then 'prediction' end as source
 from part left join facts on p_partkey = l_partkey""")
 def lookup_first_match(spark, sf_dir):
-    facts = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(
-        F.col("l_partkey").alias("p_partkey"), F.struct("l_orderkey", "l_linenumber").alias("position"), F.col("l_extendedprice").alias("price")
+    facts = placed_table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(
+        F.col("l_partkey").alias("p_partkey"), F.struct("l_orderkey", "l_linenumber", "place").alias("position"), F.col("l_extendedprice").alias("price")
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("price"))
     return assembly.override(parts, facts, ["p_partkey"], "price").select("p_partkey", "price", "source")
@@ -68,8 +68,8 @@ select p_partkey, coalesce(fact, p_retailprice) as price, case when fact is not
 def lookup_guarded(spark, sf_dir):
     """Facts of odd parts carry the name of the next part: they count only where that name is the same."""
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("named"), "p_name")
-    facts = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").withColumn("named", F.floor((F.col("l_partkey") + 1) / 2).cast("long") * 2).join(names, "named").select(
-        F.col("l_partkey").alias("p_partkey"), "p_name", F.struct("l_orderkey", "l_linenumber").alias("position"), F.col("l_extendedprice").alias("price")
+    facts = placed_table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").withColumn("named", F.floor((F.col("l_partkey") + 1) / 2).cast("long") * 2).join(names, "named").select(
+        F.col("l_partkey").alias("p_partkey"), "p_name", F.struct("l_orderkey", "l_linenumber", "place").alias("position"), F.col("l_extendedprice").alias("price")
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_retailprice").alias("price"))
     return assembly.override(parts, facts, ["p_partkey"], "price", guard="p_name").select("p_partkey", "price", "source")
