@@ -79,11 +79,11 @@ def lookup_guarded(spark, sf_dir):
 select l_partkey as p_partkey, 'first' as param, arg_min(l_extendedprice, (l_orderkey, l_linenumber)) as value from lineitem where l_returnflag = 'R' group by 1
 union all select l_partkey, 'second', arg_min(l_quantity, (l_orderkey, l_linenumber)) from lineitem where l_returnflag = 'A' group by 1)""")
 def both_lookup(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
+    lines = placed_table(spark, sf_dir, "lineitem")
     found = []
     for flag, name, value in (("R", "first", "l_extendedprice"), ("A", "second", "l_quantity")):
-        rows = lines.where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber", F.col(value).alias("value"))
-        first = assembly.first_per_key(rows, ["p_partkey"], ["l_orderkey", "l_linenumber"])
+        rows = lines.where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber", "place", F.col(value).alias("value"))
+        first = assembly.first_per_key(rows, ["p_partkey"], ["l_orderkey", "l_linenumber", "place"])
         found.append(first.select("p_partkey", F.lit(name).alias("param"), "value"))
     return found[0].unionByName(found[1])
 

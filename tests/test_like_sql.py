@@ -21,7 +21,7 @@ def folder(path, **tables) -> str:
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["lookup_first_match", "lookup_guarded"])
+@pytest.mark.parametrize("name", ["lookup_first_match", "both_lookup", "lookup_guarded"])
 def test_equal_positions_go_by_place_in_the_file(spark, tmp_path, name):
     # of two lines with one number the first has the larger value
     lines = f"""select * replace (900 - i * 10.0 as l_extendedprice, 90.0 - i as l_quantity, f as l_returnflag, 1 as l_orderkey, 1 as l_linenumber, k as l_partkey)
