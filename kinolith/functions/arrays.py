@@ -70,8 +70,13 @@ def scaled_by_maximum(values: Column, digits: int = 4) -> Column:
     return F.transform(values, lambda x: F.round(x / F.array_max(values), digits))
 
 
-def positions_above(values: Column, threshold: float) -> Column:
-    """0-based positions of values over a threshold."""
+def single(value: float) -> Column:
+    """A number in single precision: a float equal to it is not above it, as it may be above the double."""
+    return F.lit(value).cast("float")
+
+
+def positions_above(values: Column, threshold: float | Column) -> Column:
+    """0-based positions of values over a threshold, which should have the values' precision."""
     marked = F.transform(values, lambda x, i: F.when(x > threshold, i))
     return F.filter(marked, lambda i: i.isNotNull())
 

@@ -106,7 +106,7 @@ def scale_robust(spark, sf_dir):
 
 @query("""with p as (select label, unnest(list_filter(range(0, 64), lambda i: embedding[i + 1] > 0.2))::int as position from embeddings) select label, position, count(*) as n from p group by 1, 2""")
 def position_counts(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("label", F.explode(arrays.positions_above(F.col("embedding"), 0.2)).alias("position"))
+    rows = table(spark, sf_dir, "embeddings").select("label", F.explode(arrays.positions_above(F.col("embedding"), arrays.single(0.2))).alias("position"))
     return rows.groupBy("label", "position").agg(F.count("*").alias("n"))
 
 

@@ -182,7 +182,7 @@ def scale_standard(spark, sf_dir):
 
 @query("""select vec_id, array_to_string(list_filter(list_transform(range(1, len(embedding) + 1), lambda i: case when embedding[i] > 0.2 then i - 1 end), lambda i: i is not null), ',') as positions from embeddings""")
 def positions_by_class(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(arrays.positions_above(F.col("embedding"), 0.2), ",").alias("positions"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(arrays.positions_above(F.col("embedding"), arrays.single(0.2)), ",").alias("positions"))
 
 
 @query("""with g as (select item_id, unnest(list_transform(range(1, length(text) + 1), lambda i: substr('-' || text || '=', i, 3))) as token from benchmark)

@@ -39,3 +39,9 @@ def test_public_ids_of_keys_that_clash(spark, tmp_path):
     # three keys with one head, and keys whose second draw is another's first
     customers = f"""select c.* replace (k as c_custkey) from (select * from '{DATA}/customer.parquet' limit 1) c, (select unnest([430058, 540966, 664527, 157724, 822477, 91099, 296332, 387054, 566186, 1]) as k)"""
     assert not differences("public_ids", QUERIES["public_ids"](spark, folder(tmp_path, customer=customers)), SQL["public_ids"], str(tmp_path))
+
+
+@pytest.mark.parametrize("name", ["confusion", "positions_by_class", "position_counts"])
+def test_floats_at_a_threshold_are_not_above_it(spark, tmp_path, name):
+    vectors = "select i as vec_id, list_transform(range(64), lambda k: [0.1, 0.15, 0.2, 0.05, 0.3][1 + (i * 7 + k * 3) % 5]::float) as embedding, (i % 3)::int as label from range(50) t(i)"
+    assert not differences(name, QUERIES[name](spark, folder(tmp_path, embeddings=vectors)), SQL[name], str(tmp_path))
