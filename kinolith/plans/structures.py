@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kinolith.functions import arrays
 from kinolith.operators import line_notation, score
-from kinolith.plans.base import query, table
+from kinolith.operators.staging import settled
+from kinolith.plans.base import query, spread, table
 
 _LETTERS, _ATOMS = "abcdefghijklmnopqrstuvwxyz", "CNCSCOCCCCCNCOCCCCSCCCCCCO"
 _NOTATIONS_SQL = f"""n as (select p_partkey as id, translate(lower(split_part(p_name, ' ', 1)), '{_LETTERS}', '{_ATOMS}') as x, translate(lower(split_part(p_name, ' ', 2)), '{_LETTERS}', '{_ATOMS}') || case when p_partkey % 3 = 0 then 'N' else '' end as y, p_partkey % 7 = 0 as broken from part)"""
@@ -17,7 +18,7 @@ def notations(spark, sf_dir) -> DataFrame:
     """id and smiles; every seventh has a bracket too many."""
     word = lambda i: F.translate(F.lower(F.split_part("p_name", F.lit(" "), F.lit(i))), _LETTERS, _ATOMS)
     key = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select(key.alias("id"), word(1).alias("x"), F.concat(word(2), F.when(key % 3 == 0, "N").otherwise("")).alias("y"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey").select(key.alias("id"), word(1).alias("x"), F.concat(word(2), F.when(key % 3 == 0, "N").otherwise("")).alias("y"))
     forward = F.concat(F.lit("C1C("), "x", F.lit(")"), "y", F.lit("C1"))
     backward = F.concat(F.lit("C1"), F.reverse("y"), F.lit("C("), "x", F.lit(")C1"))
     return rows.select("id", F.concat(F.when(F.col("id") % 2 == 0, forward).otherwise(backward), F.when(F.col("id") % 7 == 0, ")").otherwise("")).alias("smiles"))
@@ -48,7 +49,10 @@ def structures_written_anew(spark, sf_dir):
 def circular_fingerprints(spark, sf_dir):
     """Bits of each structure, and how like the first part's structure it is."""
     bits = score.VECTORISERS.get("circular")(F.col("molecule"))
-    rows = line_notation.parsed(notations(spark, sf_dir), "smiles").where("molecule is not null").select("id", bits.alias("bits"))
+    # bits once for each text, however many rows have it; written, as they are read twice
+    texts = notations(spark, sf_dir)
+    known = line_notation.parsed(texts.select("smiles").distinct(), "smiles").where("molecule is not null").select("smiles", bits.alias("bits"))
+    rows = settled(texts.join(settled(known), "smiles").select("id", "bits"))
     first = rows.agg(F.min(F.struct("id", "bits")).alias("f")).select(F.col("f.bits").alias("first"))
     return rows.crossJoin(F.broadcast(first)).select("id", F.array_join("bits", ",").alias("bits"), arrays.tanimoto(F.col("bits"), F.col("first")).alias("similarity"))  # one row
 
