@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinolith.llm.shared import add_columns, utf8_rows
+from kinolith.llm.shared import add_columns, forget, kept, utf8_rows
 from kinolith.llm.token_counts import LONGEST_CACHED, segments
 
 ORDER = 4
@@ -201,9 +201,6 @@ def enough_letters(text: bytes) -> bool:
     return False
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def held_out(key: str):
     """Documents kept from learning: crc32 of the key as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -231,6 +228,7 @@ def learn(docs: DataFrame, key: str = "doc_id", label: str = "lang") -> Model:
     def count(batches):
         import pyarrow as pa
 
+        forget()
         words: dict[str, Counter] = {}
         for batch in batches:
             for text, name in utf8_rows(batch, "text", "label"):
@@ -282,10 +280,7 @@ def with_language(docs: DataFrame, model: Model, names: tuple[str, str, str] = (
     def predict(batch):
         import pyarrow as pa
 
-        if name_of_model not in _SCORERS:  # a worker keeps its scorer for later tasks
-            _SCORERS.clear()
-            _SCORERS[name_of_model] = Scorer(shared.value)
-        scorer = _SCORERS[name_of_model]
+        scorer = kept(f"scorer {name_of_model}", lambda: Scorer(shared.value))
         languages = scorer.model.languages
         found, scores, rates = [], [], []
         for (text,) in utf8_rows(batch, "text"):

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinolith.llm.shared import join_by_key, settle, utf8_rows
+from kinolith.llm.shared import forget, join_by_key, settle, utf8_rows
 
 WORDS = 5
 PERCENT = 75
@@ -150,6 +150,7 @@ def set_table(docs: DataFrame, key: str) -> DataFrame:
     def describe(batches):
         import pyarrow as pa
 
+        forget()
         for batch in batches:
             n, a, b, sig, marks = [], [], [], [], []
             for (text,) in utf8_rows(batch, "text"):

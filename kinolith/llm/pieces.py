@@ -22,7 +22,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinolith.llm.shared import utf8_rows
+from kinolith.llm.shared import kept, utf8_rows
 
 MARK = "▁"
 #: Texts that a model's normaliser must leave as they are but for the marker: what would be joined, folded, trimmed or dropped.
@@ -221,13 +221,8 @@ class Encoder:
         return text[1:] if text[:1] == b" " else text
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(vocabulary(path))
-    return _ENCODERS[path]
+    return kept(f"pieces {path}", lambda: Encoder(vocabulary(path)))
 
 
 def encode(docs: DataFrame, model: str, key: str = "doc_id") -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDER: dict[str, str] = {}
 #: At most so many keys can each have more than this part of all rows.
 HOT_KEYS = 1000
+_KEPT: dict[str, Any] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +74,26 @@ def join_by_key(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, t
     return often.union(rest)
 
 
+def forget() -> None:
+    """Drop what this Python worker keeps; operators without a cache call it, as workers outlive the stages of a pipeline."""
+    if not _KEPT:
+        return
+    import ctypes
+
+    _KEPT.clear()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where there is none, freed memory is only used again
+    if trim is not None:
+        trim(0)
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps under a name for later tasks, one thing at a time: the caches of two operators never add up."""
+    if name not in _KEPT:
+        forget()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def by_bytes(items: Iterable[tuple], limit: int, weigh) -> Iterator[list[tuple]]:
     """Group consecutive items so that each group holds about limit bytes."""
     group, held = [], 0

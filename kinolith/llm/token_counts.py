@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinolith.llm.shared import by_bytes, utf8_rows
+from kinolith.llm.shared import by_bytes, kept, utf8_rows
 
 BATCH_BYTES = 1 << 20
 SEGMENT_BYTES = 1 << 18
@@ -136,14 +136,9 @@ class CachedEncoder:
                 at = cut
 
 
-_ENCODERS: dict[str, CachedEncoder] = {}
-
-
 def encoder(path: str) -> CachedEncoder:
     """One encoder a Python worker and vocabulary file; workers are reused by later tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = CachedEncoder(path)
-    return _ENCODERS[path]
+    return kept(f"tokens {path}", lambda: CachedEncoder(path))
 
 
 def encoded_rows(rows: Iterable[tuple], path: str) -> Iterator[tuple]:
