@@ -49,12 +49,14 @@ def structures_written_anew(spark, sf_dir):
 def circular_fingerprints(spark, sf_dir):
     """Bits of each structure, and how like the first part's structure it is."""
     bits = score.VECTORISERS.get("circular")(F.col("molecule"))
-    # bits once for each text, however many rows have it; written, as they are read twice
+    # bits and similarity once for each text, however many rows have it; rows only look them up
     texts = notations(spark, sf_dir)
-    known = line_notation.parsed(texts.select("smiles").distinct(), "smiles").where("molecule is not null").select("smiles", bits.alias("bits"))
-    rows = settled(texts.join(settled(known), "smiles").select("id", "bits"))
-    first = rows.agg(F.min(F.struct("id", "bits")).alias("f")).select(F.col("f.bits").alias("first"))
-    return rows.crossJoin(F.broadcast(first)).select("id", F.array_join("bits", ",").alias("bits"), arrays.tanimoto(F.col("bits"), F.col("first")).alias("similarity"))  # one row
+    known = settled(line_notation.parsed(texts.select("smiles").distinct(), "smiles").where("molecule is not null").select("smiles", bits.alias("bits")))
+    first = texts.join(known.select("smiles"), "smiles", "left_semi").agg(F.min(F.struct("id", "smiles")).alias("f")).select("f.smiles")
+    first = known.join(first, "smiles").select(F.col("bits").alias("first"))
+    described = known.crossJoin(F.broadcast(first))  # one row
+    described = settled(described.select("smiles", F.array_join("bits", ",").alias("bits"), arrays.tanimoto(F.col("bits"), F.col("first")).alias("similarity")))
+    return texts.join(described, "smiles").select("id", "bits", "similarity")
 
 
 @query(f"""with {_NOTATIONS_SQL} select id, case when broken then 'unreadable' when id % 11 = 0 then 'empty' end as structure_error, case when id % 11 = 0 or broken then 'invalid' when id % 5 = 0 then 'KEGG' else 'SMILES' end as kind, not broken and id % 11 <> 0 and id % 5 <> 0 as has_text from n""")

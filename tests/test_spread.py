@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from compare import DATA
 from kinolith.operators import line_notation
+from kinolith.operators.staging import settled
 from kinolith.plans import sequences, structures
 
 
@@ -16,3 +17,17 @@ def test_known_texts_are_worked_out_once():
     line_notation.known_canonical.cache_clear()
     assert {line_notation.known_canonical("C1CC1O") for _ in range(5)} == {line_notation.canonical("C1CC1O")}
     assert line_notation.known_canonical.cache_info().misses == 1
+
+
+def test_fingerprints_are_worked_out_and_written_once_a_text(spark, monkeypatch):
+    written = []
+
+    def noted(frame):
+        out = settled(frame)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(structures, "settled", noted)
+    found = structures.circular_fingerprints(spark, DATA)
+    texts = structures.notations(spark, DATA).select("smiles").distinct().count()
+    assert written and max(written) <= texts < found.count()
