@@ -31,3 +31,10 @@ def test_fingerprints_are_worked_out_and_written_once_a_text(spark, monkeypatch)
     found = structures.circular_fingerprints(spark, DATA)
     texts = structures.notations(spark, DATA).select("smiles").distinct().count()
     assert written and max(written) <= texts < found.count()
+
+
+def test_ways_of_writing_read_a_text_once():
+    line_notation.known_read.cache_clear()
+    written = {line_notation.random_text("C1CC(CN)C1O", seed) for seed in range(40)}
+    assert len(written) > 1 and line_notation.known_read.cache_info().misses == 1
+    assert {line_notation.canonical(w) for w in written} == {line_notation.canonical("C1CC(CN)C1O")}
